@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= limit else small
 
 
+def released(spark: SparkSession) -> None:
+    """Frees the shuffle files of steps whose results have been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # type: ignore[union-attr]
+
+
 def with_position(df: DataFrame) -> DataFrame:
     """A written table with the file and the row in it, which are the same in every read."""
     return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
