@@ -47,10 +47,9 @@ def encoder(path: str):
     """
     if path in _encoders:
         return _encoders[path]
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    spec = json.loads(slow.to_str())
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    library: list = []
     special = [t["content"] for t in spec.get("added_tokens", [])]
     vocab = spec["model"]["vocab"]
     merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
@@ -60,7 +59,11 @@ def encoder(path: str):
     plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and ordered == sorted(set(ordered)) and len(ordered) + 256 == len(base)
 
     def by_library(text: str) -> np.ndarray:
-        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not library:  # loaded where it is needed: it takes memory in every worker
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(path))
+        return np.asarray(library[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     if not plain:
         _encoders[path] = by_library
@@ -108,7 +111,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                     for to, value in zip(parts, (k, a, b - a, ids[a:b].tobytes()), strict=True):
                         to.append(value)
                 held += len(ids)
-                if held > 4_000_000:
+                if held > 500_000:
                     yield _piece_batch(batch, rows, parts)
                     rows, parts, held = [], ([], [], [], []), 0
             yield _piece_batch(batch, rows, parts)
