@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.embeddings import op1_int8_tiles
 from tessera.llm.jaccard import op3_universe_partition
 from tessera.llm.license_scan import op6_containment
+from tessera.llm.mixing import op7_soft_membership
 from tessera.llm.packing import op10_exact_complement
 from tessera.llm.phrases import op9_phrase_automata
 from tessera.llm.quality import op5_robust_outliers
@@ -12,6 +13,6 @@ from tessera.llm.sharding import op4_jump_hash
 from tessera.llm.url_rules import op2_association_rules
 from tessera.llm.warc import op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_int8_tiles, op2_association_rules, op3_universe_partition, op4_jump_hash, op5_robust_outliers, op6_containment, op8_warc, op9_phrase_automata, op10_exact_complement)}
+QUERIES = {f.__name__: f for f in (op1_int8_tiles, op2_association_rules, op3_universe_partition, op4_jump_hash, op5_robust_outliers, op6_containment, op7_soft_membership, op8_warc, op9_phrase_automata, op10_exact_complement)}
 
 ORACLE_SQL: dict[str, str] = {}
