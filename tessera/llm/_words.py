@@ -75,13 +75,14 @@ class Words:
     """Words of documents ``i..j`` of a text column.
 
     ``start``/``end`` are byte ranges in ``buf``; ``first`` has for each document
-    the index of its first word, and the number of words at its end.
+    the index of its first word, and the number of words at its end.  ``bytes_as``
+    replaces bytes before words are taken.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, lower: bool = False, bytes_as: np.ndarray | None = None):
         base = offsets[i]
         buf = data[base : offsets[j]]
-        self.buf = LOWER[buf] if lower else buf
+        self.buf = bytes_as[buf] if bytes_as is not None else LOWER[buf] if lower else buf
         self.docs = offsets[i : j + 1] - base
         solid = ~SPACE[self.buf]
         self.solid = solid

@@ -12,10 +12,10 @@ by projected gradient.  A rate depends only on the document's posterior and on
 the residuals so far, a few numbers a step, so each step is one pass of sums over
 a narrow table and no rate is stored until the end.
 
-The classifier is a softmax regression on hashed words (shares of ``BUCKETS``
-buckets, with a bucket's weight shared by its words), fitted on at most
-``TRAINING_ROWS`` labelled documents, those whose ids have the smallest hashes;
-that bound is a parameter.  Everything else covers all documents.
+The classifier is a softmax regression on which hashed words (``BUCKETS`` of
+them) a document has and on a few shares, fitted on at most ``TRAINING_ROWS``
+labelled documents, those whose ids have the smallest hashes; that bound is a
+parameter.  Everything else covers all documents.
 
 Nulls and edge cases: labels with a null id or class are not learnt from, and of
 several labels of a document the largest class holds; without labels every
@@ -37,7 +37,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.llm._base import sized, table, written
-from tessera.llm._words import Words, mix64, slices, text_bytes
+from tessera.llm._words import LOWER, Words, slices, text_bytes
 
 BUCKETS = 1 << 17
 TRAINING_ROWS = 8_000
@@ -47,12 +47,42 @@ MU = 0.001
 DOMAINS = ("plain", "poor", "toxic")
 
 
-def _buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of documents: each word's document and bucket, and the words of each document."""
+#: Upper-case letters fall to lower case and ASCII marks to spaces.
+_LETTERS = LOWER.copy()
+_LETTERS[[c for c in range(128) if not chr(c).isalnum()]] = 32
+_UPPER = np.zeros(256, np.int64)
+_UPPER[65:91] = 1
+_MARKS = np.zeros(256, np.int64)
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 1
+#: Levels of each of three shares that a document has besides its words.
+_LEVELS = 8
+_ALL = BUCKETS + 3 * _LEVELS
+
+
+def _level(part: np.ndarray, whole: np.ndarray, times: float) -> np.ndarray:
+    return np.minimum(part * times * _LEVELS / np.maximum(whole, 1), _LEVELS - 1).astype(np.int64)
+
+
+def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of documents: pairs of document and feature, in order, and the tokens of each document.
+
+    Features are hashed words (runs of letters, digits and non-ASCII characters,
+    in lower case), and levels of the shares of capitals, marks and new words.
+    """
     data, offsets = text_bytes(column)
     for i, j in slices(offsets):
-        w = Words(data, offsets, i, j, lower=True)
-        yield w.doc_of(), (w.hashes() % np.uint64(BUCKETS)).astype(np.int64), w.count
+        w = Words(data, offsets, i, j, bytes_as=_LETTERS)
+        n = len(w.count)
+        raw = data[offsets[i] : offsets[j]]
+        bucket = (w.hashes() % np.uint64(BUCKETS)).astype(np.int64)
+        both = np.unique(w.doc_of() * _ALL + bucket)
+        new = np.bincount(both // _ALL, minlength=n)
+        size = np.diff(w.docs)
+        upper, marks = (np.diff(np.concatenate(([0], np.cumsum(flag[raw])))[w.docs]) for flag in (_UPPER, _MARKS))
+        for k, level in enumerate((_level(upper, size, 2.0), _level(marks, size, 4.0), _level(new, w.count, 1.0))):
+            both = np.concatenate((both, np.arange(n) * _ALL + BUCKETS + k * _LEVELS + level))
+        both.sort()
+        yield both // _ALL, both % _ALL, w.count
 
 
 def _training(docs: DataFrame, key: str, text: str, labels: DataFrame, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -63,9 +93,9 @@ def _training(docs: DataFrame, key: str, text: str, labels: DataFrame, rows: int
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists: list[np.ndarray] = []
-            for doc, bucket, count in _buckets(batch.column(0)):
-                at = np.concatenate(([0], np.cumsum(count)))
-                lists += [np.unique(bucket[a:b]).astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
+            for doc, feature, count in _features(batch.column(0)):
+                at = np.searchsorted(doc, np.arange(len(count) + 1))
+                lists += [feature[a:b].astype(np.int32) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["_b", "_class"])
 
     got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(few), F.col("_key") == F.col("_label_key"))
@@ -75,43 +105,51 @@ def _training(docs: DataFrame, key: str, text: str, labels: DataFrame, rows: int
     return [np.asarray(x.values, np.int64) for x in found.column("_b").combine_chunks()], found.column("_class").to_numpy()
 
 
-def fit(members: list[np.ndarray], classes: np.ndarray, n_classes: int, steps: int = 150, penalty: float = 1e-3) -> np.ndarray:
-    """Weights ``(BUCKETS + 1, n_classes)`` of a softmax regression on which buckets a document has."""
-    weights = np.zeros((BUCKETS + 1, n_classes))
+def fit(members: list[np.ndarray], classes: np.ndarray, n_classes: int, steps: int = 200, penalty: float = 1e-4) -> np.ndarray:
+    """Weights ``(features + 1, n_classes)`` of a softmax regression on which features a document has.
+
+    Only features that three or more documents have, and some class has more or
+    less often than by chance (by four standard deviations), get a weight.
+    """
+    weights = np.zeros((_ALL + 1, n_classes))
     n = len(members)
     if not n:
         return weights
     size = np.array([len(m) for m in members])
-    flat = np.concatenate(members) if size.sum() else np.zeros(0, np.int64)
+    flat = np.concatenate(members)
     doc = np.repeat(np.arange(n), size)
     known = np.eye(n_classes)[classes]
     share = known.mean(axis=0)
-    weights[-1] = np.log(np.maximum(share, 1e-6))
-    # buckets' log odds as a start (a class's share of the documents that have the bucket)
-    seen = np.zeros((BUCKETS, n_classes))
-    np.add.at(seen, flat, known[doc])
-    moment = np.zeros_like(weights)
-    square = np.zeros_like(weights)
+    seen = np.bincount(flat, minlength=_ALL)
+    told = np.zeros(_ALL, bool)
+    for k in range(n_classes):
+        expected = seen * share[k]
+        told |= np.square(np.bincount(flat, known[doc, k], minlength=_ALL) - expected) > 16 * np.maximum(expected * (1 - share[k]), 0.25)
+    told &= seen >= 3
+    doc, flat = doc[told[flat]], flat[told[flat]]
+    used, flat = np.unique(flat, return_inverse=True)
+    w = np.zeros((len(used) + 1, n_classes))
+    w[-1] = np.log(np.maximum(known.mean(axis=0), 1e-6))
+    moment, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        score = np.zeros((n, n_classes))
-        for k in range(n_classes):
-            score[:, k] = np.bincount(doc, weights[flat, k], minlength=n) + weights[-1, k]
-        score -= score.max(axis=1, keepdims=True)
-        p = np.exp(score)
+        score = np.stack([np.bincount(doc, w[flat, k], minlength=n) + w[-1, k] for k in range(n_classes)], axis=1)
+        p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         error = (p - known) / n
-        gradient = np.empty_like(weights)
+        gradient = np.empty_like(w)
         for k in range(n_classes):
-            gradient[:-1, k] = np.bincount(flat, error[doc, k], minlength=BUCKETS) + penalty * weights[:-1, k] / 10
+            gradient[:-1, k] = np.bincount(flat, error[doc, k], minlength=len(used)) + penalty * w[:-1, k]
             gradient[-1, k] = error[:, k].sum()
         moment = 0.9 * moment + 0.1 * gradient
-        square = 0.999 * square + 0.001 * gradient**2
-        weights -= 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        square = 0.99 * square + 0.01 * gradient**2
+        w -= 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    weights[used] = w[:-1]
+    weights[-1] = w[-1]
     return weights
 
 
 def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: list[str]) -> DataFrame:
-    """``columns`` with ``_tokens`` (words, at least 1) and ``_p`` (the posterior)."""
+    """``columns`` with ``_tokens`` (runs of letters and digits, at least 1) and ``_p`` (the posterior)."""
     kept = docs.select(*columns, F.col(text).alias("_text"))
     schema = docs.select(*columns).schema.add("_tokens", "long").add("_p", ArrayType(DoubleType()))
     names = schema.names
@@ -121,11 +159,8 @@ def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: li
         k = weights.shape[1]
         for batch in batches:
             tokens, found = [np.zeros(0, np.int64)], [np.zeros((0, k))]
-            for doc, bucket, count in _buckets(batch.column(batch.num_columns - 1)):
+            for d, b, count in _features(batch.column(batch.num_columns - 1)):
                 n = len(count)
-                # a document has a bucket or has it not
-                both = np.unique(doc * BUCKETS + bucket)
-                d, b = both // BUCKETS, both % BUCKETS
                 s = np.stack([np.bincount(d, weights[b, i], minlength=n) + weights[-1, i] for i in range(k)], axis=1)
                 s = np.exp(s - s.max(axis=1, keepdims=True))
                 found.append(s / s.sum(axis=1, keepdims=True))
