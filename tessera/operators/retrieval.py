@@ -86,26 +86,40 @@ def fuse(marker: DataFrame, vector: DataFrame, k: int | None = None) -> DataFram
     return out if k is None else out.limit(k)
 
 
-def expand(hits: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
-    """Sections near the hits: ancestors up to ``depth`` levels (but the root), children, and siblings from depth 2.
+def children(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    child = nodes.select("document_id", F.col("node_id").alias("_child"), F.col("parent_id").alias("node_id"))
+    return hits.join(child, ["document_id", "node_id"]).select("document_id", F.col("_child").alias("node_id"))
 
-    ``hits`` and the result are distinct (document_id, node_id); siblings that
-    are hits are left out, other hits may return.
-    """
-    hits = hits.select("document_id", "node_id").distinct()
+
+def ancestors(hits: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """Sections above the hits, up to ``depth`` levels, without the root."""
     tree = nodes.select("document_id", "node_id", "parent_id")
-    child = tree.select("document_id", F.col("node_id").alias("_child"), F.col("parent_id").alias("node_id"))
-    found = hits.join(child, ["document_id", "node_id"]).select("document_id", F.col("_child").alias("node_id"))
-    frontier = hits
     inner = tree.filter("parent_id is not null").select("document_id", "node_id")
+    found, frontier = hits.select("document_id", "node_id").limit(0), hits
     for _ in range(depth):
         up = frontier.join(tree, ["document_id", "node_id"]).filter("parent_id is not null").select("document_id", F.col("parent_id").alias("node_id")).distinct()
         frontier = up.join(inner, ["document_id", "node_id"], "left_semi")
         found = found.unionByName(frontier)
+    return found
+
+
+def siblings(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sections with a hit's parent that are not hits themselves."""
+    tree = nodes.select("document_id", "node_id", "parent_id")
+    parents = hits.join(tree, ["document_id", "node_id"]).filter("parent_id is not null").select("document_id", "parent_id").distinct()
+    return tree.join(parents, ["document_id", "parent_id"]).select("document_id", "node_id").join(hits, ["document_id", "node_id"], "left_anti")
+
+
+def expand(hits: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
+    """Sections near the hits: ancestors up to ``depth`` levels (but the root), children, and siblings from depth 2.
+
+    ``hits`` and the result are distinct (document_id, node_id); siblings that
+    are hits are left out, other hits may return.
+    """
+    hits = hits.select("document_id", "node_id").distinct()
+    found = children(hits, nodes).unionByName(ancestors(hits, nodes, depth))
     if depth >= 2:
-        parents = hits.join(tree, ["document_id", "node_id"]).filter("parent_id is not null").select("document_id", "parent_id").distinct()
-        siblings = tree.join(parents, ["document_id", "parent_id"]).select("document_id", "node_id").join(hits, ["document_id", "node_id"], "left_anti")
-        found = found.unionByName(siblings)
+        found = found.unionByName(siblings(hits, nodes))
     return found.distinct()
 
 
