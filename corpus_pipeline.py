@@ -46,8 +46,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rated, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS)
-    times = mixing.copies(F.col("_rate"), F.col("doc_id"))
-    return rated.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = rated.withColumn("_times", mixing.copies(F.col("_rate"), F.col("_key"))).filter("_times > 0")
+    return times.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def classes_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...], key: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS) -> tuple[DataFrame, np.ndarray]:
-    """All rows and columns with ``_tokens``, ``_p`` and ``_rate``; and the domains' totals before.
+    """``_row`` (all columns), ``_key``, ``_tokens``, ``_p`` and ``_rate`` of every row; and the domains' totals before.
 
     ``targets`` are factors on the present totals of the domains.
     """
@@ -268,7 +268,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...], key: str
     narrow = written(with_posteriors(docs, text, weights, []), "posteriors")
     totals = narrow.select(*[F.coalesce(F.sum(F.col("_tokens") * F.col("_p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
     rates = solve(narrow, np.array(targets) * np.array([totals[i] for i in range(k)]))
-    out = with_posteriors(docs, text, weights, docs.columns)
+    # the row in one column, so that no name of it meets one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
+    out = with_posteriors(whole, "_body", weights, ["_row", "_key"])
     return out.withColumn("_rate", rate_column(rates, F.col("_p"))), np.array([totals[i] for i in range(k)])
 
 
@@ -276,4 +278,4 @@ def op7_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates that halve the poor domain's tokens, raise the plain one's by a quarter and leave no toxic ones."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     out, _ = mix(docs, labels, (1.25, 0.5, 0.0))
-    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("doc_id")).alias("n_copies"))
+    return out.select(F.col("_key").alias("doc_id"), F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("_key")).alias("n_copies"))

@@ -312,12 +312,13 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
     ``joined``: kept words have one space between them; else the white space
     after a kept word stays, and a text that loses nothing is unchanged.
     """
-    full = described(docs, text, docs.columns).join(sized(told, _CLASS_ROWS), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
+    full = described(rows, "_body", ["_row", "_key", "_body"]).join(sized(told, _CLASS_ROWS), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("_n").alias("b")))
-    copy = F.col("_cx").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first"))
-    full = full.select(*docs.columns, F.when(copy, whole).otherwise(F.col("_spans")).alias("_out"))
-    schema = docs.select("*").schema.add("_words", "long").add("_removed", "long")
-    place, width = docs.columns.index(text), len(docs.columns)
+    copy = F.col("_cx").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
+    full = full.select("_row", "_body", F.when(copy, whole).otherwise(F.col("_spans")).alias("_out"))
+    schema = rows.select("_row").schema.add("_kept", "string").add("_words", "long").add("_removed", "long")
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +326,9 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
             kept: list[str | None] = []
             counts: list[np.ndarray] = [np.zeros(0, np.int64)]
             gone: list[int] = []
-            spans = batch.column(batch.num_columns - 1)
-            nulls = batch.column(place).is_null()
-            for i, w in _words_of(batch.column(place)):
+            spans = batch.column(2)
+            nulls = batch.column(1).is_null()
+            for i, w in _words_of(batch.column(1)):
                 counts.append(w.count.astype(np.int64))
                 for d in range(len(w.count)):
                     out = spans[i + d].as_py() or ()
@@ -348,10 +349,10 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
                             parts.append(raw[at : start[s["a"]]])
                             at = int(start[s["b"]]) if s["b"] < len(start) else len(raw)
                         kept.append(b"".join([*parts, raw[at:]]).decode())
-            columns = [pa.array(kept, pa.string()) if c == place else batch.column(c) for c in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(counts)), pa.array(gone, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(np.concatenate(counts)), pa.array(gone, pa.int64())], names=names)
 
-    return full.mapInArrow(cut, schema)
+    done = full.mapInArrow(cut, schema)
+    return done.select(*[F.col("_kept").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns], "_words", "_removed")
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,10 +207,11 @@ def judge(stats: DataFrame, estimate: DataFrame, group: Column) -> DataFrame:
 
 def keep_sound(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their columns."""
-    group = _group(lang, source)
-    stats = written(with_statistics(docs, text, list(dict.fromkeys([lang, source]))), "statistics")
-    estimate = fit(stats, group)
-    return judge(with_statistics(docs, text), estimate, group).filter("_q_kept").select(*docs.columns)
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), F.col(text).alias("_q_body"), F.col(lang).alias("_q_lang"), F.col(source).alias("_q_source"))
+    group = _group("_q_lang", "_q_source")
+    estimate = fit(written(with_statistics(rows, "_q_body", ["_q_lang", "_q_source"]), "statistics"), group)
+    return judge(with_statistics(rows, "_q_body", ["_q_row", "_q_lang", "_q_source"]), estimate, group).filter("_q_kept").select("_q_row.*")
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
