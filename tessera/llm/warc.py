@@ -256,6 +256,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.col("headers")["x-refers-to-row-key"].cast(key_type).alias("refers_to"),
-        "record_id",
-        "target_uri",
     )
