@@ -35,6 +35,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = np.arange(1, 257, dtype=np.uint64)
 _weights = mix64(np.arange(1 << 12, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -61,12 +62,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of at most ``limit`` bytes together, or of one document."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` documents and ``limit`` bytes together, or of one document."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + most, max(i + 1, j))
         yield i, j
         i = j
 
@@ -112,10 +113,14 @@ class Words:
         if not len(self):
             return np.zeros(0, np.uint64)
         size = self.end - self.start
-        at = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(at, size)
-        value = self.buf[self.solid].astype(np.uint64) + np.uint64(1)
-        value *= _position_weights(int(size.max()))[place]
+        at = np.cumsum(size) - size
+        # each byte's place in its word: 1, 1, ... with a step back at each word's first
+        place = np.ones(int(size.sum()), dtype=np.int32)
+        place[0] = 0
+        place[at[1:]] = 1 - size[:-1]
+        np.cumsum(place, out=place)
+        value = _position_weights(int(size.max()))[place]
+        value *= _BYTES[self.buf[self.solid]]
         return mix64(np.add.reduceat(value, at) + size.astype(np.uint64))
 
     def windows(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._base import sized, table, written
-from tessera.llm._graph import components
+from tessera.llm._graph import components, union
 
 THRESHOLD = 0.9
 TILE = 4096
@@ -46,22 +46,6 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.linalg.norm(back, axis=1), error
 
 
-def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``parent`` (every node points at its tree's smallest) with the pairs ``a``, ``b`` joined."""
-    while True:
-        x, y = parent[a], parent[b]
-        open_ = x != y
-        if not open_.any():
-            return parent
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-
-
 def tile_links(left: np.ndarray, right: np.ndarray | None, threshold: float, weight_l: np.ndarray, weight_r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of two blocks of unit vectors (``right`` None: within ``left``).
 

@@ -5,8 +5,8 @@ shingles into segments (by hash).  Two sets as similar as asked differ in at mos
 ``H`` shingles, so if segments are given thresholds 0 or 1 whose sum with the
 number of segments is over ``H``, some segment differs by no more than its
 threshold: its subsets are equal, or equal after one deletion.  A set is indexed
-by its subsets in its own band and looked up in the next smaller band where that
-can hold partners; segments with threshold 1 also give their one-deletion
+by its subsets in its own band and looked up in the smaller bands that can hold
+partners; segments with threshold 1 also give their one-deletion
 neighbourhoods.  How many segments get which threshold, and how many more than
 needed there are, is decided for each band by a cost of signatures against empty
 or weak segments.
@@ -14,13 +14,21 @@ or weak segments.
 Empty subsets of segments with threshold 0 are not indexed.  That loses nothing
 as long as one of two sets has no more empty segments than the band has to spare;
 sets with more are joined with each other by a prefix of their shingles in hash
-order.  Candidates are verified on the words themselves.
+order.  Candidates are first ruled out by the counts of their shingles in parts
+of the universe, which bound the difference of two sets from below; the rest is
+verified on the texts.
+
+A signature that many sets share (a common passage) says little.  A set that can
+spare its segments with such signatures, and its empty ones, still shares another
+signature with every similar set, so groups of common signatures are kept for
+sets only that cannot.
 
 Sets that are equal are merged first.  In a group of sets with the same
-signature, sets are compared with a few pivots; those found linked, directly or
-not, need no comparison with each other, and rounds go on until every group is
-within one component or compared in full.  So a large group of copies costs a
-few comparisons for each copy, and no link between components is missed.
+signature, all are compared with the one that shares most signatures (what
+others are copies of); those found linked, directly or not, need no comparison
+with each other.  The rest of a group is compared in full: a small one pair by
+pair, a large one in tiles of two blocks, which rule pairs out by sizes and
+sketches and make only those that may be similar.
 
 Nulls and edge cases: a null or empty text, or one of white space, has the empty
 set and links with nothing, not even another such text; a text of fewer words
@@ -40,18 +48,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm._base import released, sized, table, written
 from tessera.llm._graph import components
-from tessera.llm._words import LOWER, Words, mix64, slices, text_bytes
+from tessera.llm._words import Words, mix64, slices, text_bytes
 
 #: The bands' sizes grow by this factor at most.
 _GROWTH = 1.3
-#: Groups of at most this many sets are compared in full at once.
-_SMALL_GROUP = 24
-#: Pivots of a large group in the first round; four times as many in each further one.
-_PIVOTS = 16
+#: Groups of at most this many sets are joined pair by pair.
+_SMALL_GROUP = 32
+#: Members in a block of a larger group.
+_TILE = 512
 #: Most class rows (of a few numbers) that are broadcast.
 _CLASS_ROWS = 400_000
 
@@ -79,28 +87,38 @@ class Allocation:
         """How many segments there are, how many of the first have threshold 1, and how many may be empty."""
         small, large = self.low[band], self.low[band + 1] - 1
         best = None
-        for spare in range(4):
-            need = self.most_different(band) + 1 + spare
+        least = self.most_different(band) + 1
+        for spare in range(4) if least <= 4 else range(least // 4 + 2, least // 4 + 6):
+            need = least + spare
             for doubled in {*range(min(need // 2, 4) + 1), need // 2}:
                 n = need - doubled
                 mean = small / n
                 weak = n * math.exp(-mean) * (1 + mean)
                 empty = (n - doubled) * math.exp(-mean)
-                too_many = 1 - math.exp(-empty) * sum(empty**k / math.factorial(k) for k in range(spare + 1))
+                # the chance of more empty segments than there are to spare
+                few = term = math.exp(-empty)
+                for k in range(1, spare + 1):
+                    term *= empty / k
+                    few += term
+                too_many = 1 - few
                 cost = n + doubled * large / n + 2 * weak + 100 * max(0.0, too_many)
                 if best is None or cost < best[0]:
                     best = (cost, (n, doubled, spare))
         return best[1]
 
 
-def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, in order: document, hash, first of each document, count."""
+_HASH = np.uint64((1 << 52) - 1)
+#: Two sets whose counts by hash are this many shared shingles from the threshold, or fewer, are compared by words.
+_MARGIN = 3
+
+
+def packed_shingles(w: Words, size: int) -> np.ndarray:
+    """The distinct shingles in order: a document's number above 52 bits of the shingle's hash."""
     h = w.hashes()
     hashes, inside = w.windows(h, size)
-    doc = w.doc_of()
-    short = (w.count > 0) & (w.count < size)
     at = np.flatnonzero(inside)
-    doc_s, hash_s = doc[at], hashes[at]
+    doc, value = w.doc_of()[at], hashes[at]
+    short = (w.count > 0) & (w.count < size)
     if short.any():
         # the whole sequence as one shingle
         few = np.flatnonzero(short)
@@ -108,62 +126,97 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         for k in range(size - 1):
             has = w.count[few] > k
             own[has] = mix64(own[has] * np.uint64(31) + h[w.first[few][has] + k])
-        doc_s, hash_s = np.concatenate((doc_s, few)), np.concatenate((hash_s, own))
-    order = np.lexsort((hash_s, doc_s))
-    doc_s, hash_s = doc_s[order], hash_s[order]
-    if len(doc_s):
-        new = np.ones(len(doc_s), bool)
-        new[1:] = (doc_s[1:] != doc_s[:-1]) | (hash_s[1:] != hash_s[:-1])
-        doc_s, hash_s = doc_s[new], hash_s[new]
-    first = np.searchsorted(doc_s, np.arange(len(w.count) + 1))
-    return doc_s, hash_s, first, np.diff(first)
-
-
-def fingerprints(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        doc, value = np.concatenate((doc, few)), np.concatenate((value, own))
+    both = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (value >> np.uint64(12)))
+    if len(both):
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+    return both
+
+
+def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, in order: document, hash, first of each document, count."""
+    both = packed_shingles(w, size)
+    doc = (both >> np.uint64(52)).astype(np.int64)
+    first = np.searchsorted(doc, np.arange(len(w.count) + 1))
+    return doc, mix64(both & _HASH), first, np.diff(first)
+
+
+def fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums that stand for each document's set."""
     out = []
     for seed in (0x1234567, 0x89ABCDEF):
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, doc, mix64(h ^ np.uint64(seed)))
-        out.append(mix64(total).view(np.int64))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(seed)))))
+        out.append(mix64(total[first[1:]] - total[first[:-1]]).view(np.int64))
     return out[0], out[1]
 
 
-def signatures(allocation: Allocation, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and signature of every indexed subset, of whole slices of documents at once."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set how many shingles it has in each of equal parts of the universe, half as many parts as shingles.
+
+    Two sets differ in at least the sum of the differences of these counts.  The
+    number of parts is a power of two, so that a finer sketch can be folded.
+    """
+    place = mix64(h ^ np.uint64(0x2222))
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        bits = min(max(6, (b - a - 1).bit_length() - 1), 16)
+        part = (place[a:b] >> np.uint64(64 - bits)).astype(np.int64)
+        out.append(np.minimum(np.bincount(part, minlength=1 << bits), 65535).astype("<u2").tobytes())
+    return out
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound on the number of shingles that are in one of two sets, from their sketches."""
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)).sum())
+
+
+def signatures(allocation: Allocation, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, signature and segment of every indexed subset, of whole slices of documents at once.
+
+    The segment's number has, from its top: bands below the set's own (8 bits),
+    128 and the segments that the set can still spare there (16), the segment (32)
+    and its threshold (1).
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     own = allocation.band(np.maximum(count, 1))
-    value, place = mix64(h ^ np.uint64(0xABCD)), mix64(h ^ np.uint64(0x5555)) >> np.uint64(20)
-    for lower in (0, 1):
+    value, place = mix64(h ^ np.uint64(0xABCD)), h >> np.uint64(32)
+    low = np.array(allocation.low)
+    for lower in range(int(own.max(initial=0)) + 1):
         band = own - lower
+        use = (band >= 0) & (count > 0)
         if lower:
-            top = np.array(allocation.low)[own] - 1
-            use = (band >= 0) & (allocation.share * count <= 100 * top) & (count > 0)
-        else:
-            use = count > 0
+            # smaller bands whose largest sets can be similar
+            use &= allocation.share * count <= 100 * (low[np.maximum(band, 0) + 1] - 1)
+            if not use.any():
+                break
         kinds = np.array([allocation.segments(int(b)) if b >= 0 else (1, 0, 0) for b in range(-1, int(own.max(initial=0)) + 1)], np.int64)
         n, doubled, spare = kinds[np.maximum(band, -1) + 1].T
         trivial = (n == 1) & (doubled == 0)  # only equal sets are similar enough, and those are one class
         use &= ~trivial
         mine = use[doc]
         d, v = doc[mine], value[mine]
-        seg = (place[mine] % n[d].astype(np.uint64)).astype(np.int64)
+        seg = ((place[mine] * n.astype(np.uint64)[d]) >> np.uint64(32)).astype(np.int64)
         base = np.concatenate(([0], np.cumsum(np.where(use, n, 0))))
         total = np.zeros(base[-1], np.uint64)
-        filled = np.zeros(base[-1], np.int64)
-        np.add.at(total, base[d] + seg, v)
-        np.add.at(filled, base[d] + seg, 1)
+        cell = base[d] + seg
+        np.add.at(total, cell, v)
+        filled = np.bincount(cell, minlength=base[-1])
         seg_doc = np.repeat(np.arange(len(count)), np.where(use, n, 0))
         seg_no = np.arange(base[-1]) - base[seg_doc]
         name = mix64((band[seg_doc].astype(np.uint64) << np.uint64(32)) + seg_no.astype(np.uint64))
         pairs = seg_no < doubled[seg_doc]
-        give = (filled > 0) | pairs
-        out.append((seg_doc[give], mix64(total[give] ^ name[give])))
-        less = seg < doubled[d]
-        at = (base[d] + seg)[less]
-        out.append((d[less], mix64((total[at] - v[less]) ^ name[at])))
         empty = np.zeros(len(count), np.int64)
         np.add.at(empty, seg_doc[(filled == 0) & ~pairs], 1)
+        left = (lower << 49) | (np.clip(spare - empty, -128, 32767) + 128) << 33
+        give = (filled > 0) | pairs
+        out.append((seg_doc[give], mix64(total[give] ^ name[give]), left[seg_doc[give]] | seg_no[give] << 1 | pairs[give]))
+        less = seg < doubled[d]
+        at = cell[less]
+        out.append((d[less], mix64((total[at] - v[less]) ^ name[at]), left[d[less]] | seg[less] << 1 | 1))
         sparse = use & (empty > spare)
         if sparse.any():
             # prefixes in hash order
@@ -173,50 +226,59 @@ def signatures(allocation: Allocation, doc: np.ndarray, h: np.ndarray, count: np
             sd, sh = sd[order], sh[order]
             rank = np.arange(len(sd)) - np.searchsorted(sd, sd)
             keep = rank <= count[sd] - -(-allocation.share * count[sd] // 100)
-            out.append((sd[keep], mix64(sh[keep] ^ np.uint64(0x77))))
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]).view(np.int64)
+            out.append((sd[keep], mix64(sh[keep] ^ np.uint64(0x77)), left[sd[keep]]))
+    owner, sig, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    return owner, sig.view(np.int64), place
 
 
 def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, Words, tuple]]:
     data, offsets = text_bytes(batch_text)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, most=4096):
         w = Words(data, offsets, i, j, lower=True)
         yield i, w, shingles(w, size)
 
 
 def described(docs: DataFrame, text: str, size: int, columns: list[str]) -> DataFrame:
-    """``columns`` with ``_n`` (size of the set) and its fingerprints ``_x``, ``_y``."""
+    """``columns`` with ``_n`` (size of the set), its fingerprints ``_x``, ``_y`` and its sketch ``_s``."""
     kept = docs.select(*columns, F.col(text).alias("_text"))
-    schema = docs.select(*columns).schema.add("_n", "long").add("_x", "long").add("_y", "long")
+    schema = docs.select(*columns).schema.add("_n", "long").add("_x", "long").add("_y", "long").add("_s", "binary")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, w, (doc, h, _, count) in _sets(batch.column(batch.num_columns - 1), size):
+            sketch: list[bytes] = []
+            for _, _, (_, h, first, count) in _sets(batch.column(batch.num_columns - 1), size):
                 n.append(count.astype(np.int64))
-                for to, f in zip((x, y), fingerprints(doc, h, len(w.count)), strict=True):
+                for to, f in zip((x, y), fingerprints(h, first), strict=True):
                     to.append(f)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.concatenate(c)) for c in (n, x, y)]], names=schema.names)
+                sketch += sketches(h, first)
+            made = [pa.array(np.concatenate(c)) for c in (n, x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made, pa.array(sketch, pa.binary())], names=schema.names)
 
     return kept.mapInArrow(describe, schema)
 
 
-def _emitted(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
-    """A row for each document: key, fingerprints, and the array of its signatures."""
+_SIGNATURE = StructType([StructField("sig", LongType()), StructField("place", LongType())])
+
+
+def _emitted(docs: DataFrame, key: str, text: str, size: int, share: int, places: bool) -> DataFrame:
+    """A row for each document: key, fingerprints, and the array of its signatures (with segments, if wanted)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allocation = Allocation(share)
         for batch in batches:
-            for i, w, (doc, h, _, count) in _sets(batch.column(1), size):
+            for i, w, (doc, h, first, count) in _sets(batch.column(1), size):
                 n = len(w.count)
-                x, y = fingerprints(doc, h, n)
-                owner, sig = signatures(allocation, doc, h, count)
+                x, y = fingerprints(h, first)
+                owner, sig, place = signatures(allocation, doc, h, count)
                 order = np.argsort(owner, kind="stable")
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(x), pa.array(y), arrays], names=["_key", "_x", "_y", "_sigs"])
+                values = pa.array(sig[order])
+                if places:
+                    values = pa.StructArray.from_arrays([values, pa.array(place[order])], names=["sig", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(x), pa.array(y), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["_key", "_x", "_y", "_sigs"])
 
-    schema = docs.select(F.col(key).alias("_key")).schema.add("_x", "long").add("_y", "long").add("_sigs", ArrayType(LongType()))
+    schema = docs.select(F.col(key).alias("_key")).schema.add("_x", "long").add("_y", "long").add("_sigs", ArrayType(_SIGNATURE if places else LongType()))
     return docs.select(F.col(key), F.col(text)).mapInArrow(emit, schema)
 
 
@@ -229,13 +291,95 @@ def similar(a: list[bytes], b: list[bytes], size: int, share: int) -> bool:
     return 100 * shared >= share * (len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` of classes that are similar."""
-    n = classes.select(F.col("_id").alias("_i"), "_n")
-    sizes = pairs.join(sized(n.toDF("a", "_na"), _CLASS_ROWS), "a").join(sized(n.toDF("b", "_nb"), _CLASS_ROWS), "b")
-    pairs = written(sizes.filter(100 * F.least("_na", "_nb") >= share * F.greatest("_na", "_nb")).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
-    first = written(classes.join(sized(written(wanted, "wanted")), F.col("_id") == F.col("_w")).select("_id", "_first", "_x", "_y"), "representatives")
+def all_similar(left: pa.Array, right: pa.Array, size: int, share: int) -> np.ndarray:
+    """Which rows' two texts are as similar as asked.
+
+    Counts by hash decide where they are far from the threshold (it would take
+    several equal hashes of different shingles to be wrong there), else the words.
+    """
+    (da, oa), (db, ob) = text_bytes(left), text_bytes(right)
+    out = np.zeros(len(left), bool)
+    for i, j in slices(oa - oa[:1] + ob - ob[:1], most=4096):
+        a, b = Words(da, oa, i, j, lower=True), Words(db, ob, i, j, lower=True)
+        x, y = packed_shingles(a, size), packed_shingles(b, size)
+        both = np.sort(np.concatenate((x, y)))
+        of = lambda v, n=j - i: np.bincount((v >> np.uint64(52)).astype(np.int64), minlength=n)
+        shared = of(both[1:][both[1:] == both[:-1]])
+        over = 100 * shared - share * (of(x) + of(y) - shared)
+        fits = (over >= 0) & (shared > 0)
+        for d in np.flatnonzero(np.abs(over) <= _MARGIN * (100 + share)):
+            fits[d] = similar(a.texts(d), b.texts(d), size, share)
+        out[i:j] = fits
+    return out
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
+    return sized(written(ids, "wanted"))
+
+
+def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` of classes that sizes and sketches do not rule out."""
+    n = classes.select("_id", "_n")
+    sizes = pairs.join(sized(n.toDF("a", "_na")), "a").join(sized(n.toDF("b", "_nb")), "b")
+    pairs = written(sizes.filter(100 * F.least("_na", "_nb") >= share * F.greatest("_na", "_nb")), "pairs")
+    sketch = classes.join(_wanted(pairs), F.col("_id") == F.col("_w")).select("_id", "_s")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy()
+            fits = [(100 + share) * least_difference(x.as_py(), y.as_py()) <= (100 - share) * t for t, x, y in zip(total.tolist(), batch.column(3), batch.column(4), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(fits, pa.bool_()))
+
+    both = pairs.join(sketch.toDF("a", "_sa"), "a").join(sketch.toDF("b", "_sb"), "b").select("a", "b", F.col("_na") + F.col("_nb"), "_sa", "_sb")
+    return both.mapInArrow(near, "a long, b long")
+
+
+def near_in_tile(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], low: np.ndarray, same: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels, of two blocks or within one, that sizes and sketches do not rule out."""
+    parts = min(len(x) for x in sketch) // 2
+    flat = np.stack([np.frombuffer(x, "<u2").reshape(parts, -1).sum(axis=1) for x in sketch]).astype(np.int32)
+    left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        j = right[right > i] if same else right
+        j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i]))]
+        j = j[(100 + share) * np.abs(flat[j] - flat[i]).sum(axis=1) <= (100 - share) * (n[j] + n[i])]
+        for x in j[[(100 + share) * least_difference(sketch[i], sketch[k]) <= (100 - share) * (n[k] + n[i]) for k in j]] if len(j) else ():
+            a.append(np.array([min(ids[i], ids[x])]))
+            b.append(np.array([max(ids[i], ids[x])]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _near_in_tiles(groups: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """The same for all pairs of different labels in large groups (sig, m, l, n).
+
+    A group's members are dealt into blocks of ``_TILE``, and each pair of blocks is
+    one bounded task; only pairs that may be similar are made.
+    """
+    each = classes.select(F.col("_id").alias("m"), "_n", "_s").join(_wanted(groups.select(F.col("m").alias("a"), F.col("m").alias("b"))), F.col("m") == F.col("_w")).drop("_w")
+    blocks = F.ceil(F.col("n") / _TILE).cast("long")
+    dealt = groups.join(each, "m").withColumn("_b", F.pmod(F.xxhash64("m"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("sig", "m", "l", "_n", "_s", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def compare(part: pa.Table) -> pa.Table:
+        m, label, n, block = (part.column(c).to_numpy() for c in ("m", "l", "_n", "_b"))
+        i, j = part.column("_i")[0].as_py(), part.column("_j")[0].as_py()
+        low = block == i
+        if i != j and (low.all() or not low.any()):
+            a = b = np.zeros(0, np.int64)
+        else:
+            a, b = near_in_tile(m, label, n, part.column("_s").to_pylist(), low, i == j, share)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("sig", "_i", "_j").applyInArrow(compare, "a long, b long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
+    """Those of the (written) pairs that are similar, by their texts."""
+    if pairs.isEmpty():
+        return pairs
+    first = written(classes.join(_wanted(pairs), F.col("_id") == F.col("_w")).select("_id", "_first", "_x", "_y"), "representatives")
     got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sized(first, _CLASS_ROWS), F.col("_key").eqNullSafe(F.col("_first")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,23 +387,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
         for batch in batches:
             keep = [np.zeros(0, bool)]
             x, y = (batch.column(k).to_numpy() for k in (2, 3))
-            for i, w, (doc, h, _, _) in _sets(batch.column(1), size):
-                fx, fy = fingerprints(doc, h, len(w.count))
+            for i, _, (_, h, first, _) in _sets(batch.column(1), size):
+                fx, fy = fingerprints(h, first)
                 keep.append((fx == x[i : i + len(fx)]) & (fy == y[i : i + len(fy)]))
             yield batch.select([0, 1]).filter(pa.array(np.concatenate(keep)))
 
     texts = written(got.select("_id", "_text", "_x", "_y").mapInArrow(own, "_id long, _text string"), "texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            a = batch.column(0).to_numpy()
-            for i in range(batch.num_rows):
-                if last[0] != a[i]:
-                    last = (a[i], _split(batch.column(2)[i].as_py()))
-                keep[i] = similar(last[1], _split(batch.column(3)[i].as_py()), size, share)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).filter(pa.array(all_similar(batch.column(2), batch.column(3), size, share)))
 
     one, two = texts.toDF("a", "_ta"), texts.toDF("b", "_tb")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "_ta", "_tb")
@@ -268,10 +405,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
     return out
 
 
-def _split(text: str) -> list[bytes]:
-    return LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split() if text else []
-
-
 def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> tuple[DataFrame, DataFrame]:
     """A written description of each row (``_key``, ``_n``, ``_x``, ``_y``) and of each class with its ``_component``.
 
@@ -279,49 +412,50 @@ def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> t
     """
     spark = docs.sparkSession
     rows = written(described(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body", size, ["_key"]), "described")
-    merged = rows.filter("_n > 0").groupBy("_x", "_y").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"))
-    classes = written(merged.select(F.monotonically_increasing_id().alias("_id"), "_first", "_n", "_x", "_y"), "classes")
+    merged = rows.filter("_n > 0").groupBy("_x", "_y").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), F.first("_s").alias("_s"))
+    classes = written(merged.select(F.monotonically_increasing_id().alias("_id"), "_first", "_n", "_x", "_y", "_s"), "classes")
     reps = classes.select("_id", "_first", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"))
 
-    def emission() -> DataFrame:
-        sent = _emitted(docs, key, text, size, share)
+    def emission(places: bool) -> DataFrame:
+        sent = _emitted(docs, key, text, size, share, places)
         sent = sent.join(sized(reps, _CLASS_ROWS), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))).filter(F.col("_key").eqNullSafe(F.col("_first")))
-        return sent.select("_id", F.explode("_sigs").alias("sig"))
+        return sent.select(F.col("_id").alias("m"), F.explode("_sigs").alias("s"))
 
-    groups = emission().groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("a"), F.max("_id").alias("b")).filter("a < b")
-    groups = written(groups, "groups")
+    again = written(emission(False).groupBy(F.col("s").alias("sig")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "again")
     released(spark)
-    pairs = groups.select("a", "b").distinct()
-    large = written(groups.filter("n > 2").select("sig", "a"), "large")
-    members = written(emission().join(sized(large), "sig").select("sig", "a", F.col("_id").alias("m")).distinct(), "members")
+    found = written(emission(True).join(sized(again), F.col("s.sig") == F.col("sig")).select("sig", "m", "s.place").distinct(), "found")
     released(spark)
-    stars = members.filter("a < m").select("a", F.col("m").alias("b")).distinct()
-    links = _verified(written(pairs.unionByName(stars).distinct(), "candidates"), docs, classes, key, text, size, share)
-    members = members.filter("a < m").select("sig", "m")  # each group's smallest has been compared with all others
-    pivots = _PIVOTS
-    while True:
-        label = written(components(links), "labels")
-        marked = members.join(sized(label), F.col("m") == F.col("node"), "left").select("sig", "m", F.coalesce("component", "m").alias("l"))
-        marked = written(marked, "marked")
-        open_ = marked.groupBy(F.col("sig").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("s", "n")
-        open_ = written(open_, "open")
-        if open_.isEmpty():
-            break
-        left = written(marked.join(sized(open_), F.col("sig") == F.col("s")).select("sig", "m", "l", "n"), "left")
-        bucket = F.pmod(F.xxhash64("m", F.lit(pivots)), F.lit(pivots))
-        chosen = left.filter(F.col("n") > _SMALL_GROUP).groupBy("sig", bucket.alias("k")).agg(F.min("m").alias("p")).select("sig", "p")
-        chosen = chosen.unionByName(left.filter(F.col("n") <= _SMALL_GROUP).select("sig", F.col("m").alias("p")))
-        chosen = written(chosen.distinct(), "pivots")
-        with_label = chosen.join(left.select("sig", F.col("m").alias("p"), F.col("l").alias("pl")), ["sig", "p"])
-        tests = left.join(with_label, "sig").filter("l <> pl").select(F.least("m", "p").alias("a"), F.greatest("m", "p").alias("b")).distinct()
-        new = _verified(written(tests, "candidates"), docs, classes, key, text, size, share)
-        links = written(links.unionByName(new), "links")
-        members = written(left.select("sig", "m").join(chosen.withColumnRenamed("p", "m"), ["sig", "m"], "left_anti"), "members")
-        pivots *= 4
+    counts = found.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("a"), F.max("m").alias("z")).filter("a < z")
+    # a set that can spare all its segments with signatures of many sets shares another one with every similar set
+    common = written(counts.filter(F.col("n") > _SMALL_GROUP).select(F.col("sig").alias("common"), "n"), "common")
+    of_set = [F.col("m").alias("hm"), F.shiftright("place", 33).alias("hp")]
+    segments = found.join(sized(common), F.col("sig") == F.col("common")).select(*of_set, (F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("seg")).distinct()
+    spent = segments.groupBy("hm", "hp").agg(F.sum(F.col("seg").bitwiseAND(F.lit(1)) + 1).alias("spent"))
+    heavy = written(spent.filter(F.col("spent") > F.col("hp").bitwiseAND(F.lit(65535)) - 128).select("hm", "hp"), "heavy")
+    rare = found.join(counts.filter(F.col("n") <= _SMALL_GROUP).select(F.col("sig").alias("g"), "n"), F.col("sig") == F.col("g")).select("sig", "m", "n")
+    frequent = found.join(sized(common), F.col("sig") == F.col("common")).join(sized(heavy), (F.col("m") == F.col("hm")) & (F.shiftright("place", 33) == F.col("hp"))).select("sig", "m", "n")
+    kept = written(rare.unionByName(frequent).distinct(), "kept")
+    # the text that others are copies of shares more signatures than they do with each other: it is their pivot
+    shares = written(kept.groupBy(F.col("m").alias("sm")).agg(F.sum("n").alias("shares")), "shares")
+    kept = kept.join(sized(shares), F.col("m") == F.col("sm")).select("sig", "m", "shares")
+    groups = kept.groupBy("sig").agg(F.max(F.struct("shares", "m"))["m"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "a")
+    members = written(kept.join(groups, "sig").filter("a <> m").select("sig", "a", "m"), "members")  # each group's pivot is compared with all others
+    pairs = members.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
+    links = _similar(written(_near(pairs, classes, share), "near"), docs, classes, key, text, size, share)
+    label = written(components(links), "labels")
+    marked = members.join(sized(label), F.col("m") == F.col("node"), "left").select("sig", "m", F.coalesce("component", "m").alias("l"))
+    open_ = marked.groupBy(F.col("sig").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("s", "n")
+    left = written(marked.join(open_, F.col("sig") == F.col("s")).select("sig", "m", "l", "n"), "left")
+    few = left.filter(F.col("n") <= _SMALL_GROUP)
+    tests = few.join(few.select("sig", F.col("m").alias("p"), F.col("l").alias("pl")), "sig").filter("m < p and l <> pl").select(F.col("m").alias("a"), F.col("p").alias("b")).distinct()
+    new = _similar(written(_near(tests, classes, share).unionByName(_near_in_tiles(left.filter(F.col("n") > _SMALL_GROUP), classes, share)).distinct(), "near"), docs, classes, key, text, size, share)
+    if not new.isEmpty():
+        # the trees found before stand for all links found before
+        label = written(components(label.toDF("a", "b").unionByName(new)), "labels")
     first = classes.join(sized(label), F.col("_id") == F.col("node"), "left").select("_x", "_y", "_first", F.coalesce("component", "_id").alias("_c"))
     first = written(first, "classes")
     smallest = written(first.groupBy(F.col("_c").alias("_cc")).agg(F.min("_first").alias("_component")), "smallest")
-    told = first.join(sized(smallest), F.col("_c") == F.col("_cc")).select(F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), "_component")
+    told = first.join(sized(smallest), F.col("_c") == F.col("_cc")).select(F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), "_component", F.col("_c").alias("_group"))
     return rows, written(told, "told")
 
 
@@ -338,18 +472,19 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     Texts without words are in no component and all stay.
     """
     _, told = classes_of(docs, key, text, size, share)
-    full = described(docs, text, size, docs.columns)
+    # the row in one column, so that no name of it meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
+    full = described(rows, "_body", size, ["_row", "_key"])
     out = full.join(sized(told, _CLASS_ROWS), (F.col("_n") > 0) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
-    out = out.filter(F.col("_cx").isNull() | F.col(key).eqNullSafe(F.col("_component")))
+    out = out.filter(F.col("_cx").isNull() | F.col("_key").eqNullSafe(F.col("_component"))).select("_row", "_group", "_x", "_y")
     # rows that share the smallest id (or a null one) of their component: one of them stays
-    again = out.filter(F.col("_cx").isNotNull()).groupBy(F.col("_component").alias("_again")).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("_again")
+    again = out.filter("_group is not null").groupBy(F.col("_group").alias("_again")).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("_again")
     again = written(again.withColumn("_yes", F.lit(True)), "again")
     if again.isEmpty():
-        return out.select(*docs.columns)
-    marked = out.join(sized(again), F.col("_cx").isNotNull() & F.col("_component").eqNullSafe(F.col("_again")), "left")
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("_x", "_y", F.xxhash64(*docs.columns)))
-    one = marked.filter("_yes").groupBy("_component").agg(row.alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    return marked.filter("_yes is null").select(*docs.columns).unionByName(one)
+        return out.select("_row.*")
+    marked = out.join(sized(again), F.col("_group") == F.col("_again"), "left")
+    one = marked.filter("_yes").groupBy("_group").agg(F.min_by("_row", F.struct("_x", "_y", F.xxhash64("_row"))).alias("_row"))
+    return marked.filter("_yes is null").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def op3_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
