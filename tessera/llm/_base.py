@@ -26,19 +26,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch(spark).rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows that a Python worker gets at once; whole texts are large, and workers share an executor's memory.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and cuts lineage."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker gets at once; whole texts are large, and workers share an executor's memory.
-ARROW_ROWS = 1000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
