@@ -60,6 +60,8 @@ _GROWTH = 1.3
 _SMALL_GROUP = 32
 #: Members in a block of a larger group.
 _TILE = 512
+#: Groups that a member remembers, so that a pair is made once.
+_REMEMBERED = 32
 #: Most class rows (of a few numbers) that are broadcast.
 _CLASS_ROWS = 400_000
 
@@ -359,8 +361,10 @@ def _near_in_tiles(groups: DataFrame, classes: DataFrame, share: int) -> DataFra
     """
     each = classes.select(F.col("_id").alias("m"), "_n", "_s").join(_wanted(groups.select(F.col("m").alias("a"), F.col("m").alias("b"))), F.col("m") == F.col("_w")).drop("_w")
     blocks = F.ceil(F.col("n") / _TILE).cast("long")
-    dealt = groups.join(each, "m").withColumn("_b", F.pmod(F.xxhash64("m"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("sig", "m", "l", "_n", "_s", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    # a pair of members of several groups is made in the least of those both remember, or in each if they remember none together
+    kept = groups.groupBy("m").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, _REMEMBERED).alias("_sigs"))  # bounded by the text
+    dealt = groups.join(kept, "m").join(each, "m").withColumn("_b", F.pmod(F.xxhash64("m"), blocks)).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("sig", "m", "l", "_n", "_s", "_sigs", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def compare(part: pa.Table) -> pa.Table:
         m, label, n, block = (part.column(c).to_numpy() for c in ("m", "l", "_n", "_b"))
@@ -370,6 +374,9 @@ def _near_in_tiles(groups: DataFrame, classes: DataFrame, share: int) -> DataFra
             a = b = np.zeros(0, np.int64)
         else:
             a, b = near_in_tile(m, label, n, part.column("_s").to_pylist(), low, i == j, share)
+            own, of = part.column("sig")[0].as_py(), dict(zip(m.tolist(), part.column("_sigs").to_pylist(), strict=True))
+            here = np.array([min(set(of[x]) & set(of[y]), default=own) == own for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            a, b = a[here], b[here]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("sig", "_i", "_j").applyInArrow(compare, "a long, b long")
