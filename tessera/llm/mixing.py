@@ -8,9 +8,15 @@ minimise
 
     1/2 sum_k ((sum_d r_d n_d p_dk - t_k) / s_k)^2 + mu/2 sum_d (n_d / N) (r_d - 1)^2
 
-by projected gradient.  A rate depends only on the document's posterior and on
-the residuals so far, a few numbers a step, so each step is one pass of sums over
-a narrow table and no rate is stored until the end.
+where ``s`` is the larger of target and present total.  At the optimum a rate is
+``max(0, 1 - sum_k p_dk N y_k / (s_k mu))``, the projection of what the domains'
+scaled residuals ``y`` ask for, so the unknowns are a few numbers.  Projected
+Newton steps find them: each is one pass of sums over a narrow table, the domains'
+sizes do not slow them down, and no rate is stored until the end.  They end when
+every total is within ``REACHED`` of its target, or else, where the targets cannot
+all be met so far, at the optimum: when the residuals of the rates are ``y`` to
+within ``TOLERANCE``, that is, when the projected gradient vanishes.  If neither is
+reached, there is an error and no result.
 
 The classifier is a softmax regression on which hashed words (``BUCKETS`` of
 them) a document has and on a few shares, fitted on at most ``TRAINING_ROWS``
@@ -41,8 +47,15 @@ from tessera.llm._words import LOWER, Words, slices, text_bytes
 
 BUCKETS = 1 << 17
 TRAINING_ROWS = 8_000
+#: Steps after which rates that are not yet the optimum are an error.
 STEPS = 40
 MU = 0.001
+#: Totals that miss their targets by no more than this share of the domains' scales have reached them.
+REACHED = 0.02
+#: The largest difference, as a share of a domain's scale, at which residuals count as those of the optimum.
+TOLERANCE = 1e-9
+#: Shares of a step that one pass tries.
+_TRIALS = 0.25 ** np.arange(12)
 #: Domains, in the order of the classifier's classes.
 DOMAINS = ("plain", "poor", "toxic")
 
@@ -173,34 +186,29 @@ def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: li
 
 
 class Rates:
-    """Rates as a function of the posterior, by the residuals of the steps so far."""
+    """Rates as a function of the posterior, by dual variables; ``missed`` is what totals miss, as shares of the domains' scales."""
 
-    def __init__(self, unit: np.ndarray, mu: float, step: float):
-        self.unit, self.mu, self.step = unit, mu, step
-        self.residuals: list[np.ndarray] = []
+    def __init__(self, unit: np.ndarray, mu: float):
+        self.unit, self.mu = unit, mu
+        self.dual = self.missed = np.zeros(len(unit))
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for residual in self.residuals:
-            r = np.maximum(0.0, r - self.step * (p @ (self.unit * residual) + self.mu * (r - 1)))
-        return r
+        return np.maximum(0.0, 1.0 - p @ (self.unit * self.dual) / self.mu)
 
 
-def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int = STEPS) -> Rates:
+def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int = STEPS, reached: float = REACHED) -> Rates:
     """Rates from a (written) table of ``_tokens`` and ``_p``; targets are in tokens.
 
-    The gradient is taken in the metric that weighs documents by tokens, in which
-    equal posteriors have equal rates.
+    The dual function that is minimised is strongly convex and made of quadratic
+    pieces.  A Newton step goes as far as the function falls enough.
     """
     k = len(targets)
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cross = np.zeros(k), np.zeros((k, k))
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k)
         for batch in batches:
-            n, p = batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(-1, k)
-            total += n @ p
-            cross += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([np.append(total, cross)], pa.list_(pa.float64()))], names=["v"])
+            total += batch.column(0).to_numpy().astype(float) @ batch.column(1).flatten().to_numpy().reshape(-1, k)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
     def summed(df: DataFrame, width: int) -> np.ndarray:
         v = df.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row for each sum
@@ -210,28 +218,48 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
         return out
 
     rows = members.select("_tokens", "_p")
-    m = summed(rows.mapInArrow(moments, "v array<double>"), k + k * k)
-    now, cross = m[:k], m[k:].reshape(k, k)
+    now = summed(rows.mapInArrow(present, "v array<double>"), k)
     whole = max(now.sum(), 1.0)
     scale = np.where(now > 0, np.maximum(targets, now), np.inf)
     unit = whole / scale  # of a rate's change on a scaled total
-    hessian = cross / whole * np.outer(unit, unit)
-    lipschitz = float(np.linalg.eigvalsh(np.nan_to_num(hessian)).max()) + mu
-    rates = Rates(unit, mu, 1.0 / lipschitz)
+    aim = targets / scale
+    rates = Rates(unit, mu)
+    width = 1 + k + k * k
 
-    for _ in range(steps):
+    def tried(points: np.ndarray) -> list[tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
+        """Points with the dual function's value, gradient and second derivatives there."""
 
-        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(points), width))
             for batch in batches:
-                n, p = batch.column(0).to_numpy().astype(float), batch.column(1).flatten().to_numpy().reshape(-1, k)
-                total += (n * rates.of(p)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-        residual = np.nan_to_num((summed(rows.mapInArrow(reached, "v array<double>"), k) - targets) / scale)
-        if len(rates.residuals) and np.abs(residual - rates.residuals[-1]).max() < 1e-5:
+                share = batch.column(0).to_numpy() / whole
+                pull = batch.column(1).flatten().to_numpy().reshape(-1, k) * unit
+                for i, y in enumerate(points):
+                    a = pull @ y
+                    rate = np.maximum(0.0, 1.0 - a / mu)
+                    total[i, 0] -= share @ np.where(rate > 0, a - a * a / (2 * mu), mu / 2)
+                    total[i, 1 : k + 1] -= (share * rate) @ pull
+                    total[i, k + 1 :] += ((pull * (share * (rate > 0))[:, None]).T @ pull).reshape(-1) / mu
+            yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1)], pa.list_(pa.float64()))], names=["v"])
+
+        found = summed(rows.mapInArrow(sums, "v array<double>"), len(points) * width).reshape(-1, width)
+        return [(y, t[0] + y @ (y / 2 + aim), t[1 : k + 1] + y + aim, t[k + 1 :].reshape(k, k) + np.eye(k)) for y, t in zip(points, found, strict=True)]
+
+    y, value, gradient, second = tried(np.zeros((1, k)))[0]
+    # what the totals miss is the dual variable less the gradient
+    done = lambda: np.abs(y - gradient).max() <= reached or np.abs(gradient).max() <= TOLERANCE
+    for _ in range(steps):
+        if done():
+            break
+        step = -np.linalg.solve(second, gradient)
+        # near the optimum values differ by less than rounding, and the gradient tells
+        better = [t for t, part in zip(tried(y + _TRIALS[:, None] * step), _TRIALS, strict=True) if t[1] <= value + 1e-4 * part * (gradient @ step) or np.abs(t[2]).max() <= np.abs(gradient).max() / 2]
+        if not better:
             break
-        rates.residuals.append(residual)
+        y, value, gradient, second = better[0]
+    if not done():
+        raise ArithmeticError(f"no rates found in {steps} steps: totals miss their targets by up to {np.abs(y - gradient).max():.3g} and the optimum's by up to {np.abs(gradient).max():.3g} of the domains' scales")
+    rates.dual, rates.missed = y, y - gradient
     return rates
 
 

@@ -124,6 +124,31 @@ def test_projected_gradient_reaches_the_optimum(spark):
     assert value(got) == pytest.approx(value(r), abs=1e-4)
 
 
+@pytest.mark.parametrize("shares", [(0.985, 0.01, 0.005), (0.979, 0.02, 0.001)])
+def test_a_rare_domain_does_not_keep_the_others_from_their_targets(spark, shares):
+    """With the parameters of the pipeline; the rates are a fixed point of projected gradient."""
+    rng = np.random.default_rng(1)
+    domain = rng.choice(3, 20_000, p=shares)
+    score = rng.normal(size=(20_000, 3)) + np.log(shares)
+    score[np.arange(20_000), domain] += 4.0 - 0.5 * np.log(np.array(shares))[domain]
+    p = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+    n = rng.integers(20, 400, 20_000).astype(float)
+    now = n @ p
+    targets = now * [1.25, 1.0, 0.0]
+    members = quality.written(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _p array<double>"), "m")
+    rates = mixing.solve(members, targets)
+    r = rates.of(p)
+    after = (n * r) @ p
+    assert after / now == pytest.approx([1.25, 1.0, 0.0], abs=0.08) and after[0] / now[0] > 1.23
+    scale = np.maximum(targets, now)
+    residual = (after - targets) / scale
+    assert residual == pytest.approx(rates.missed, abs=1e-8)
+    gradient = p @ (n.sum() / scale * residual) + mixing.MU * (r - 1)
+    assert np.abs(r - np.maximum(0, r - gradient)).max() < 1e-5
+    with pytest.raises(ArithmeticError):
+        mixing.solve(members, targets, steps=1)
+
+
 def test_mixing_without_labels_and_of_odd_rows(docs, frame, spark):
     _, labels = mixed(spark, 5)
     out, _ = mixing.mix(frame(docs), labels.limit(0), (1.0, 1.0, 1.0))
