@@ -19,6 +19,8 @@ RESULT = ["document_id", "filename", "frontmatter", "node_id", "chunk_seq", "hea
 RRF_K = 60
 #: Candidates per result that a reranker is given.
 OVERFETCH = 4
+#: Most queries of a batch that are broadcast at once.
+QUERY_BLOCK = 1000
 
 
 def searchable(chunks: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -51,14 +53,20 @@ def marker_search(rows: DataFrame, vector: list[float], k: int, filters: list[Fi
     return vector_search(rows, vector, k, filters, "marker_embedding", "MARKER")
 
 
-def batch_search(rows: DataFrame, queries: DataFrame, k: int, key: list[str], column: str = "embedding") -> DataFrame:
+def batch_search(rows: DataFrame, queries: DataFrame, k: int, key: list[str], column: str = "embedding", digits: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of every query (``query_id``, ``vector``), with ``rank`` from 1.
 
-    The queries are a stated set against all rows.  Every task keeps the ``k``
-    nearest of its rows for each query by a bounded aggregate, so that no query's
-    distances to all rows are sorted in one place.
+    The queries are a stated set against all rows; more than ``block`` of them are
+    not broadcast but dealt into blocks of about that size, each a task's against
+    a part of the rows.  Every task keeps the ``k`` nearest of its rows for each
+    query, so that no query's distances to all rows are sorted in one place.
+    Distances are rounded to ``digits``, if given, before they are compared.
     """
-    scored = rows.join(F.broadcast(queries.select("query_id", "vector"))).select("query_id", *key, cosine_distance(F.col(column), F.col("vector")).alias("distance"))
+    asked = queries.select("query_id", "vector")
+    blocks = -(-asked.count() // block)
+    pairs = rows.join(F.broadcast(asked)) if blocks <= 1 else rows.crossJoin(asked.repartition(blocks, "query_id").hint("shuffle_replicate_nl"))
+    distance = cosine_distance(F.col(column), F.col("vector"))
+    scored = pairs.select("query_id", *key, (distance if digits is None else F.round(distance, digits)).alias("distance"))
     return top_by_group(scored, ["query_id"], ["distance", *key], k)
 
 

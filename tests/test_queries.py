@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.operators import retrieval
 from tessera.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -41,3 +42,16 @@ def test_same_rows_as_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_batch_search_takes_the_whole_stated_set(spark, db):
+    got = registry.QUERIES["vector_topk_batch_stated"](spark, DIR)
+    want = {r[0] for r in db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
+    assert len(want) > 20 and {r["query_id"] for r in got.collect()} == want
+
+
+def test_batch_search_in_blocks_finds_the_same(spark):
+    vectors = registry.read(spark, DIR, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    one, many = ({tuple(r) for r in retrieval.batch_search(vectors, queries, 5, ["vec_id"], digits=6, block=b).collect()} for b in (1000, 7))
+    assert one == many and len(one) == 5 * queries.count()
