@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._base import sized, written
+from tessera.llm._base import scoped, sized, written
 
 #: Most edges that one task joins by itself (16 MB of numbers); more are joined by stars.
 LOCAL_EDGES = 1_000_000
@@ -56,6 +56,7 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+@scoped
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of all nodes of edges ``a``, ``b`` but the smallest.
 

@@ -18,17 +18,22 @@ order.  Candidates are first ruled out by the counts of their shingles in parts
 of the universe, which bound the difference of two sets from below; the rest is
 verified on the texts.
 
-A signature that many sets share (a common passage) says little.  A set that can
-spare its segments with such signatures, and its empty ones, still shares another
-signature with every similar set, so groups of common signatures are kept for
-sets only that cannot.
-
-Sets that are equal are merged first.  In a group of sets with the same
-signature, all are compared with the one that shares most signatures (what
-others are copies of); those found linked, directly or not, need no comparison
-with each other.  The rest of a group is compared in full: a small one pair by
-pair, a large one in tiles of two blocks, which rule pairs out by sizes and
-sketches and make only those that may be similar.
+A set drops the signatures that most sets share as long as the segments that they
+stand for are ones that it can spare.  All sets drop in the same order, so of the
+signatures that two similar sets share the least common one is dropped by neither.
+
+Rows with the same words (by a 128-bit BLAKE2b digest of the lower-cased sequence)
+are merged first.  In a group of sets with the same signature, all are compared
+with the one that shares most signatures (what others are copies of); those found
+linked, directly or not, need no comparison with each other.  The rest of a group
+is compared in full: a small one pair by pair, a large one in tiles of two blocks,
+which rule pairs out by sizes and folded sketches and make only those that may be
+similar.
+
+What is exact: whether two sets are linked is decided on their words, and so are
+their sizes.  Signatures and sketches are made of 52-bit hashes, which can only
+lose a link if two shingles of one text have equal hashes (for a text of 20,000
+words the chance is 5e-8).
 
 Nulls and edge cases: a null or empty text, or one of white space, has the empty
 set and links with nothing, not even another such text; a text of fewer words
@@ -43,6 +48,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +56,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm._base import released, sized, table, written
+from tessera.llm._base import quoted, released, row_columns, row_of, scoped, sized, table, written
 from tessera.llm._graph import components
-from tessera.llm._words import Words, mix64, slices, text_bytes
+from tessera.llm._words import LOWER, Words, mix64, slices, text_bytes
 
 #: The bands' sizes grow by this factor at most.
 _GROWTH = 1.3
 #: Groups of at most this many sets are joined pair by pair.
 _SMALL_GROUP = 32
 #: Members in a block of a larger group.
-_TILE = 512
+_TILE = 4096
+#: Parts of the universe that a sketch in a tile has at most.
+_FOLDED = 256
 #: Groups that a member remembers, so that a pair is made once.
 _REMEMBERED = 32
-#: Most class rows (of a few numbers) that are broadcast.
-_CLASS_ROWS = 400_000
+#: Bytes of text whose shingles are handled at once.
+_SLICE = 1 << 18
 
 
 class Allocation:
@@ -110,8 +118,6 @@ class Allocation:
 
 
 _HASH = np.uint64((1 << 52) - 1)
-#: Two sets whose counts by hash are this many shared shingles from the threshold, or fewer, are compared by words.
-_MARGIN = 3
 
 
 def packed_shingles(w: Words, size: int) -> np.ndarray:
@@ -145,13 +151,26 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return doc, mix64(both & _HASH), first, np.diff(first)
 
 
-def fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that stand for each document's set."""
-    out = []
-    for seed in (0x1234567, 0x89ABCDEF):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(seed)))))
-        out.append(mix64(total[first[1:]] - total[first[:-1]]).view(np.int64))
-    return out[0], out[1]
+def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of each document's sequence of words."""
+    raw = w.buf.tobytes()
+    out = b"".join(blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(w.docs[:-1].tolist(), w.docs[1:].tolist(), strict=True))
+    both = np.frombuffer(out, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def shingle_set(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(size)), strict=False))
+
+
+def exact_counts(w: Words, count: np.ndarray, size: int) -> np.ndarray:
+    """Sizes of the sets; where all of a text's windows have different hashes, ``count`` (by hash) is exact."""
+    out = count.astype(np.int64)
+    for d in np.flatnonzero(count < np.maximum(w.count - size + 1, np.minimum(w.count, 1))):
+        out[d] = len(shingle_set(w.texts(d), size))
+    return out
 
 
 def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -197,8 +216,8 @@ def signatures(allocation: Allocation, doc: np.ndarray, h: np.ndarray, count: np
                 break
         kinds = np.array([allocation.segments(int(b)) if b >= 0 else (1, 0, 0) for b in range(-1, int(own.max(initial=0)) + 1)], np.int64)
         n, doubled, spare = kinds[np.maximum(band, -1) + 1].T
-        trivial = (n == 1) & (doubled == 0)  # only equal sets are similar enough, and those are one class
-        use &= ~trivial
+        if lower:
+            use &= (n > 1) | (doubled > 0)  # else only equal sets are similar enough, and those are in one band
         mine = use[doc]
         d, v = doc[mine], value[mine]
         seg = ((place[mine] * n.astype(np.uint64)[d]) >> np.uint64(32)).astype(np.int64)
@@ -235,27 +254,32 @@ def signatures(allocation: Allocation, doc: np.ndarray, h: np.ndarray, count: np
 
 def _sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, Words, tuple]]:
     data, offsets = text_bytes(batch_text)
-    for i, j in slices(offsets, most=4096):
+    for i, j in slices(offsets, _SLICE, most=4096):
         w = Words(data, offsets, i, j, lower=True)
         yield i, w, shingles(w, size)
 
 
-def described(docs: DataFrame, text: str, size: int, columns: list[str]) -> DataFrame:
-    """``columns`` with ``_n`` (size of the set), its fingerprints ``_x``, ``_y`` and its sketch ``_s``."""
+def described(docs: DataFrame, text: str, size: int, columns: list[str], sets: bool = True) -> DataFrame:
+    """``columns`` with ``_n`` (size of the set) and the digest ``_x``, ``_y``; with the sketch ``_s``, or else ``_n`` is the number of words."""
     kept = docs.select(*columns, F.col(text).alias("_text"))
-    schema = docs.select(*columns).schema.add("_n", "long").add("_x", "long").add("_y", "long").add("_s", "binary")
+    schema = docs.select(*columns).schema.add("_n", "long").add("_x", "long").add("_y", "long")
+    schema = schema.add("_s", "binary") if sets else schema
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             sketch: list[bytes] = []
-            for _, _, (_, h, first, count) in _sets(batch.column(batch.num_columns - 1), size):
-                n.append(count.astype(np.int64))
-                for to, f in zip((x, y), fingerprints(h, first), strict=True):
+            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            for i, j in slices(offsets, _SLICE, most=4096):
+                w = Words(data, offsets, i, j, lower=True)
+                if sets:
+                    _, h, first, count = shingles(w, size)
+                    sketch += sketches(h, first)
+                n.append(exact_counts(w, count, size) if sets else w.count.astype(np.int64))
+                for to, f in zip((x, y), fingerprints(w), strict=True):
                     to.append(f)
-                sketch += sketches(h, first)
             made = [pa.array(np.concatenate(c)) for c in (n, x, y)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made, pa.array(sketch, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made, *([pa.array(sketch, pa.binary())] if sets else [])], names=schema.names)
 
     return kept.mapInArrow(describe, schema)
 
@@ -271,7 +295,7 @@ def _emitted(docs: DataFrame, key: str, text: str, size: int, share: int, places
         for batch in batches:
             for i, w, (doc, h, first, count) in _sets(batch.column(1), size):
                 n = len(w.count)
-                x, y = fingerprints(h, first)
+                x, y = fingerprints(w)
                 owner, sig, place = signatures(allocation, doc, h, count)
                 order = np.argsort(owner, kind="stable")
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
@@ -284,9 +308,8 @@ def _emitted(docs: DataFrame, key: str, text: str, size: int, share: int, places
     return docs.select(F.col(key), F.col(text)).mapInArrow(emit, schema)
 
 
-def similar(a: list[bytes], b: list[bytes], size: int, share: int) -> bool:
-    """Whether two sequences of words are as similar as asked, on the words themselves."""
-    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (a, b))
+def similar(x: set, y: set, share: int) -> bool:
+    """Whether two sets of shingles are as similar as asked."""
     if not x or not y:
         return False
     shared = len(x & y)
@@ -294,24 +317,21 @@ def similar(a: list[bytes], b: list[bytes], size: int, share: int) -> bool:
 
 
 def all_similar(left: pa.Array, right: pa.Array, size: int, share: int) -> np.ndarray:
-    """Which rows' two texts are as similar as asked.
-
-    Counts by hash decide where they are far from the threshold (it would take
-    several equal hashes of different shingles to be wrong there), else the words.
-    """
+    """Which rows' two texts are as similar as asked, by their words."""
     (da, oa), (db, ob) = text_bytes(left), text_bytes(right)
     out = np.zeros(len(left), bool)
-    for i, j in slices(oa - oa[:1] + ob - ob[:1], most=4096):
-        a, b = Words(da, oa, i, j, lower=True), Words(db, ob, i, j, lower=True)
-        x, y = packed_shingles(a, size), packed_shingles(b, size)
-        both = np.sort(np.concatenate((x, y)))
-        of = lambda v, n=j - i: np.bincount((v >> np.uint64(52)).astype(np.int64), minlength=n)
-        shared = of(both[1:][both[1:] == both[:-1]])
-        over = 100 * shared - share * (of(x) + of(y) - shared)
-        fits = (over >= 0) & (shared > 0)
-        for d in np.flatnonzero(np.abs(over) <= _MARGIN * (100 + share)):
-            fits[d] = similar(a.texts(d), b.texts(d), size, share)
-        out[i:j] = fits
+    held: dict[bytes, set] = {}  # the last text's set: rows of a group's pivot come one after another
+
+    def shingles_of(raw: bytes) -> set:
+        if raw not in held:
+            if len(held) > 1:
+                held.clear()
+            held[raw] = shingle_set(raw.split(), size)
+        return held[raw]
+
+    for i in range(len(left)):
+        a, b = LOWER[da[oa[i] : oa[i + 1]]].tobytes(), LOWER[db[ob[i] : ob[i + 1]]].tobytes()
+        out[i] = similar(shingles_of(a), shingles_of(b), share)
     return out
 
 
@@ -337,19 +357,31 @@ def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     return both.mapInArrow(near, "a long, b long")
 
 
+def folded(sketch: bytes) -> bytes:
+    """A sketch of at most ``_FOLDED`` parts, each count cut at 255, so that differences are no larger than before."""
+    x = np.frombuffer(sketch, "<u2").astype(np.int64)
+    return np.minimum(x.reshape(min(len(x), _FOLDED), -1).sum(axis=1), 255).astype(np.uint8).tobytes()
+
+
 def near_in_tile(ids: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], low: np.ndarray, same: bool, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels, of two blocks or within one, that sizes and sketches do not rule out."""
-    parts = min(len(x) for x in sketch) // 2
-    flat = np.stack([np.frombuffer(x, "<u2").reshape(parts, -1).sum(axis=1) for x in sketch]).astype(np.int32)
-    left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
+    """Pairs of different labels, of two blocks or within one, that sizes and folded sketches do not rule out."""
+    parts = min(map(len, sketch))
+    flat = np.empty((len(ids), parts), np.int16)
+    for i, x in enumerate(sketch):
+        # counts cut at 255 are cut again when parts are joined: differences still do not grow
+        flat[i] = np.minimum(np.frombuffer(x, np.uint8).astype(np.int64).reshape(parts, -1).sum(axis=1), 255)
+    order = np.argsort(n, kind="stable")
+    left, right = (order, order) if same else (order[low[order]], order[~low[order]])
+    sizes = n[right]
+    least, most = np.searchsorted(sizes, -(-share * n[left] // 100)), np.searchsorted(sizes, 100 * n[left] // share, side="right")
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        j = right[right > i] if same else right
-        j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= share * np.maximum(n[j], n[i]))]
-        j = j[(100 + share) * np.abs(flat[j] - flat[i]).sum(axis=1) <= (100 - share) * (n[j] + n[i])]
-        for x in j[[(100 + share) * least_difference(sketch[i], sketch[k]) <= (100 - share) * (n[k] + n[i]) for k in j]] if len(j) else ():
-            a.append(np.array([min(ids[i], ids[x])]))
-            b.append(np.array([max(ids[i], ids[x])]))
+    for k, (i, lo, hi) in enumerate(zip(left.tolist(), least.tolist(), most.tolist(), strict=True)):
+        j = right[max(lo, k + 1) if same else lo : hi]
+        j = j[label[j] != label[i]]
+        if len(j):
+            j = j[(100 + share) * np.abs(flat[j] - flat[i]).sum(axis=1, dtype=np.int64) <= (100 - share) * (n[j] + n[i])]
+            a.append(np.minimum(ids[j], ids[i]))
+            b.append(np.maximum(ids[j], ids[i]))
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -357,9 +389,17 @@ def _near_in_tiles(groups: DataFrame, classes: DataFrame, share: int) -> DataFra
     """The same for all pairs of different labels in large groups (sig, m, l, n).
 
     A group's members are dealt into blocks of ``_TILE``, and each pair of blocks is
-    one bounded task; only pairs that may be similar are made.
+    one bounded task; only pairs that may be similar are made.  A member is sent as
+    a few numbers and a folded sketch.
     """
-    each = classes.select(F.col("_id").alias("m"), "_n", "_s").join(_wanted(groups.select(F.col("m").alias("a"), F.col("m").alias("b"))), F.col("m") == F.col("_w")).drop("_w")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([folded(x.as_py()) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["m", "_n", "_s"])
+
+    each = classes.select(F.col("_id").alias("m"), "_n", "_s").join(_wanted(groups.select(F.col("m").alias("a"), F.col("m").alias("b"))), F.col("m") == F.col("_w"))
+    each = each.select("m", "_n", "_s").mapInArrow(fold, "m long, _n long, _s binary")
     blocks = F.ceil(F.col("n") / _TILE).cast("long")
     # a pair of members of several groups is made in the least of those both remember, or in each if they remember none together
     kept = groups.groupBy("m").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, _REMEMBERED).alias("_sigs"))  # bounded by the text
@@ -374,8 +414,10 @@ def _near_in_tiles(groups: DataFrame, classes: DataFrame, share: int) -> DataFra
             a = b = np.zeros(0, np.int64)
         else:
             a, b = near_in_tile(m, label, n, part.column("_s").to_pylist(), low, i == j, share)
-            own, of = part.column("sig")[0].as_py(), dict(zip(m.tolist(), part.column("_sigs").to_pylist(), strict=True))
-            here = np.array([min(set(of[x]) & set(of[y]), default=own) == own for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            own, sigs = part.column("sig")[0].as_py(), part.column("_sigs").combine_chunks()
+            at = {x: k for k, x in enumerate(m.tolist())}
+            of = lru_cache(maxsize=None)(lambda x: frozenset(sigs[at[x]].as_py()))
+            here = np.array([min(of(x) & of(y), default=own) == own for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
             a, b = a[here], b[here]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -387,16 +429,17 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
     if pairs.isEmpty():
         return pairs
     first = written(classes.join(_wanted(pairs), F.col("_id") == F.col("_w")).select("_id", "_first", "_x", "_y"), "representatives")
-    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sized(first, _CLASS_ROWS), F.col("_key").eqNullSafe(F.col("_first")))
+    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sized(first), F.col("_key").eqNullSafe(F.col("_first")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of rows that share an id, the one with the class's text
         for batch in batches:
             keep = [np.zeros(0, bool)]
             x, y = (batch.column(k).to_numpy() for k in (2, 3))
-            for i, _, (_, h, first, _) in _sets(batch.column(1), size):
-                fx, fy = fingerprints(h, first)
-                keep.append((fx == x[i : i + len(fx)]) & (fy == y[i : i + len(fy)]))
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets):
+                fx, fy = fingerprints(Words(data, offsets, i, j, lower=True))
+                keep.append((fx == x[i:j]) & (fy == y[i:j]))
             yield batch.select([0, 1]).filter(pa.array(np.concatenate(keep)))
 
     texts = written(got.select("_id", "_text", "_x", "_y").mapInArrow(own, "_id long, _text string"), "texts")
@@ -412,6 +455,40 @@ def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
     return out
 
 
+def _spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signatures that sets keep, with the sum of all their signatures' counts.
+
+    A set drops its signatures from the most common one on (ties by the signature)
+    until the segments of those would be more than it can spare in their band.
+    """
+    for batch in batches:
+        some = batch.column(1)
+        n, sig, place = (np.asarray(x) for x in some.flatten().flatten())
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(some.value_lengths()))
+        order = np.lexsort((place, sig, -n, row))
+        row, n, sig, place = row[order], n[order], sig[order], place[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (sig[1:] != sig[:-1])
+        row, n, sig, place = row[new], n[new], sig[new], place[new]
+        shares = np.bincount(row, n, minlength=batch.num_rows).astype(np.int64)
+        # by set and band, in the same order
+        order = np.lexsort((np.arange(len(row)), place >> 33, row))
+        row, sig, place = row[order], sig[order], place[order]
+        band = np.ones(len(row), bool)
+        band[1:] = (row[1:] != row[:-1]) | (place[1:] >> 33 != place[:-1] >> 33)
+        of_band = np.cumsum(band) - 1
+        segment = place & ((1 << 33) - 1)
+        _, first = np.unique(of_band << 33 | segment, return_index=True)
+        weight = np.zeros(len(row), np.int64)
+        weight[first] = (segment[first] & 1) + 1
+        total = np.cumsum(weight)
+        start = np.flatnonzero(band)
+        spent = total - (total[start] - weight[start])[of_band]
+        keep = spent > ((place >> 33) & 65535) - 128
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), batch.column(0).take(pa.array(row[keep])), pa.array(shares[row[keep]])], names=["sig", "m", "shares"])
+
+
+@scoped
 def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> tuple[DataFrame, DataFrame]:
     """A written description of each row (``_key``, ``_n``, ``_x``, ``_y``) and of each class with its ``_component``.
 
@@ -425,26 +502,16 @@ def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> t
 
     def emission(places: bool) -> DataFrame:
         sent = _emitted(docs, key, text, size, share, places)
-        sent = sent.join(sized(reps, _CLASS_ROWS), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))).filter(F.col("_key").eqNullSafe(F.col("_first")))
+        sent = sent.join(sized(reps), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))).filter(F.col("_key").eqNullSafe(F.col("_first")))
         return sent.select(F.col("_id").alias("m"), F.explode("_sigs").alias("s"))
 
-    again = written(emission(False).groupBy(F.col("s").alias("sig")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "again")
+    again = written(emission(False).groupBy(F.col("s").alias("sig")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     released(spark)
-    found = written(emission(True).join(sized(again), F.col("s.sig") == F.col("sig")).select("sig", "m", "s.place").distinct(), "found")
+    found = emission(True).join(sized(again), F.col("s.sig") == F.col("sig")).select("m", F.struct("n", "sig", "s.place").alias("f"))
+    # a row for each set that shares a signature, with all of those: bounded by its text
+    kept = written(found.groupBy("m").agg(F.collect_list("f").alias("f")).mapInArrow(_spared, "sig long, m long, shares long"), "kept")
     released(spark)
-    counts = found.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("a"), F.max("m").alias("z")).filter("a < z")
-    # a set that can spare all its segments with signatures of many sets shares another one with every similar set
-    common = written(counts.filter(F.col("n") > _SMALL_GROUP).select(F.col("sig").alias("common"), "n"), "common")
-    of_set = [F.col("m").alias("hm"), F.shiftright("place", 33).alias("hp")]
-    segments = found.join(sized(common), F.col("sig") == F.col("common")).select(*of_set, (F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("seg")).distinct()
-    spent = segments.groupBy("hm", "hp").agg(F.sum(F.col("seg").bitwiseAND(F.lit(1)) + 1).alias("spent"))
-    heavy = written(spent.filter(F.col("spent") > F.col("hp").bitwiseAND(F.lit(65535)) - 128).select("hm", "hp"), "heavy")
-    rare = found.join(counts.filter(F.col("n") <= _SMALL_GROUP).select(F.col("sig").alias("g"), "n"), F.col("sig") == F.col("g")).select("sig", "m", "n")
-    frequent = found.join(sized(common), F.col("sig") == F.col("common")).join(sized(heavy), (F.col("m") == F.col("hm")) & (F.shiftright("place", 33) == F.col("hp"))).select("sig", "m", "n")
-    kept = written(rare.unionByName(frequent).distinct(), "kept")
     # the text that others are copies of shares more signatures than they do with each other: it is their pivot
-    shares = written(kept.groupBy(F.col("m").alias("sm")).agg(F.sum("n").alias("shares")), "shares")
-    kept = kept.join(sized(shares), F.col("m") == F.col("sm")).select("sig", "m", "shares")
     groups = kept.groupBy("sig").agg(F.max(F.struct("shares", "m"))["m"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "a")
     members = written(kept.join(groups, "sig").filter("a <> m").select("sig", "a", "m"), "members")  # each group's pivot is compared with all others
     pairs = members.select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).distinct()
@@ -455,7 +522,7 @@ def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> t
     left = written(marked.join(open_, F.col("sig") == F.col("s")).select("sig", "m", "l", "n"), "left")
     few = left.filter(F.col("n") <= _SMALL_GROUP)
     tests = few.join(few.select("sig", F.col("m").alias("p"), F.col("l").alias("pl")), "sig").filter("m < p and l <> pl").select(F.col("m").alias("a"), F.col("p").alias("b")).distinct()
-    new = _similar(written(_near(tests, classes, share).unionByName(_near_in_tiles(left.filter(F.col("n") > _SMALL_GROUP), classes, share)).distinct(), "near"), docs, classes, key, text, size, share)
+    new = _similar(written(_near(tests.unionByName(_near_in_tiles(left.filter(F.col("n") > _SMALL_GROUP), classes, share)).distinct(), classes, share), "near"), docs, classes, key, text, size, share)
     if not new.isEmpty():
         # the trees found before stand for all links found before
         label = written(components(label.toDF("a", "b").unionByName(new)), "labels")
@@ -466,32 +533,33 @@ def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> t
     return rows, written(told, "told")
 
 
+@scoped
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, share: int = 85) -> DataFrame:
     """``key``, n_shingles and component_id of every row."""
     rows, told = classes_of(docs, key, text, size, share)
-    out = rows.join(sized(told, _CLASS_ROWS), (F.col("_n") > 0) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    out = rows.join(sized(told), (F.col("_n") > 0) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), F.when(F.col("_cx").isNull(), F.col("_key")).otherwise(F.col("_component")).alias("component_id"))
 
 
+@scoped
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """One row of each component (the one with the smallest id; of equal rows one), with all columns.
 
     Texts without words are in no component and all stay.
     """
     _, told = classes_of(docs, key, text, size, share)
-    # the row in one column, so that no name of it meets one of ours
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
-    full = described(rows, "_body", size, ["_row", "_key"])
-    out = full.join(sized(told, _CLASS_ROWS), (F.col("_n") > 0) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    rows = docs.select(row_of(docs).alias("_row"), F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body"))
+    full = described(rows, "_body", size, ["_row", "_key"], sets=False)
+    out = full.join(sized(told), (F.col("_n") > 0) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     out = out.filter(F.col("_cx").isNull() | F.col("_key").eqNullSafe(F.col("_component"))).select("_row", "_group", "_x", "_y")
     # rows that share the smallest id (or a null one) of their component: one of them stays
     again = out.filter("_group is not null").groupBy(F.col("_group").alias("_again")).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("_again")
     again = written(again.withColumn("_yes", F.lit(True)), "again")
     if again.isEmpty():
-        return out.select("_row.*")
+        return out.select(*row_columns(docs, "_row"))
     marked = out.join(sized(again), F.col("_group") == F.col("_again"), "left")
     one = marked.filter("_yes").groupBy("_group").agg(F.min_by("_row", F.struct("_x", "_y", F.xxhash64("_row"))).alias("_row"))
-    return marked.filter("_yes is null").select("_row.*").unionByName(one.select("_row.*"))
+    return marked.filter("_yes is null").select("_row").unionByName(one.select("_row")).select(*row_columns(docs, "_row"))
 
 
 def op3_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,6 @@ _RUN = 256
 #: Characters of phrases in one automaton at most.
 _AUTOMATON_CHARS = 1_000_000
 _SHARD_CHARS = 1_000_000
-_CLASS_ROWS = 400_000
 
 
 def sequence_prints(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +171,7 @@ def _runs(places: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """``_base`` and ``_text`` of the wanted texts (first id, fingerprints, base)."""
-    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sized(wanted, _CLASS_ROWS), F.col("_key").eqNullSafe(F.col("_first")))
+    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sized(wanted), F.col("_key").eqNullSafe(F.col("_first")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # of rows that share an id, those with the text
@@ -251,7 +250,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     equal = rows.filter(F.col("_n") >= size).groupBy("_x", "_y").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), (F.count(F.lit(1)) > 1).alias("_copies"))
     equal = written(equal, "equal")
     firsts = _ordered(equal.select("_first", "_n", "_x", "_y"))
-    own = sized(firsts.select("_first", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), "_base"), _CLASS_ROWS)
+    own = sized(firsts.select("_first", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), "_base"))
 
     def emission(windows: bool) -> DataFrame:
         sent = _emitted(docs, key, text, size, windows)
@@ -268,7 +267,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     first = near.groupBy("w").agg(F.min("pos").alias("fpos"), F.max("pos").alias("lpos"), F.min("base").alias("fbase")).filter("fpos < lpos").select("w", "fpos", "fbase")
     first = written(first, "firsts")
     released(spark)
-    later = near.join(sized(first, _CLASS_ROWS), "w").filter("pos > fpos").select("base", "pos", "fbase", "fpos")
+    later = near.join(sized(first), "w").filter("pos > fpos").select("base", "pos", "fbase", "fpos")
     again = _repeats(rows)
     later = later.distinct() if again else later
     runs = written(_runs(later), "runs")
@@ -314,7 +313,7 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
     """
     # the row in one column, so that no name of it meets one of ours
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
-    full = described(rows, "_body", ["_row", "_key", "_body"]).join(sized(told, _CLASS_ROWS), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    full = described(rows, "_body", ["_row", "_key", "_body"]).join(sized(told), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("_n").alias("b")))
     copy = F.col("_cx").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
     full = full.select("_row", "_body", F.when(copy, whole).otherwise(F.col("_spans")).alias("_out"))

@@ -84,3 +84,43 @@ def test_segments_reach_every_similar_pair():
                 doc = np.repeat([0, 1], [n, len(other)])
                 owner, sig, _ = jaccard.signatures(allocation, doc, np.concatenate((base, other)), np.array([n, len(other)]))
                 assert set(sig[owner == 0]) & set(sig[owner == 1]), (share, n, cut, len(other))
+
+
+def test_two_similar_sets_keep_a_signature_that_they_share():
+    """Whatever is common: every set drops what it can spare, and similar ones still meet."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    for share in (80, 85):
+        allocation = jaccard.Allocation(share)
+        for n in (6, 30, 120, 400):
+            base = rng.integers(0, 2**63, n, dtype=np.uint64)
+            some = []
+            for _ in range(40):
+                other = base.copy()
+                at = rng.choice(n, int(rng.integers(0, max(2, (100 - share) * n // 130))), replace=False)
+                other[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+                some.append(np.unique(other))
+            count = np.array([len(x) for x in some])
+            owner, sig, place = jaccard.signatures(allocation, np.repeat(np.arange(40), count), np.concatenate(some), count)
+            names, times = np.unique(sig, return_counts=True)
+            seen = dict(zip(names.tolist(), times.tolist(), strict=True))
+            rows = [[{"n": seen[s], "sig": s, "place": p} for s, p in zip(sig[owner == d].tolist(), place[owner == d].tolist(), strict=True) if seen[s] > 1] for d in range(40)]
+            kind = pa.list_(pa.struct([("n", pa.int64()), ("sig", pa.int64()), ("place", pa.int64())]))
+            out = next(jaccard._spared(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(rows, kind)], names=["m", "f"])])))
+            kept = [set() for _ in range(40)]
+            for s, m in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                kept[m].add(s)
+            assert sum(map(len, kept)) < sum(map(len, rows)) or n < 30
+            for a in range(40):
+                for b in range(a):
+                    shared = len(np.intersect1d(some[a], some[b]))
+                    if 100 * shared >= share * (count[a] + count[b] - shared):
+                        assert kept[a] & kept[b], (share, n)
+
+
+def test_equal_sets_of_other_sequences_are_linked(spark):
+    text = "a b c d a b c d a b c d"
+    rows = spark.createDataFrame([(3, text), (1, "A B C D A b c d a b c d a"), (2, "x y z"), (4, "x  y\nz"), (5, "x y z x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(rows).collect()}
+    assert got == {3: (4, 1), 1: (4, 1), 2: (1, 2), 4: (1, 2), 5: (1, 5)}
