@@ -50,3 +50,27 @@ def test_error_bounds_hold():
 
 def test_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_only_candidate_pairs_are_computed_again():
+    rng = np.random.default_rng(3)
+    left, right = rng.normal(size=(2000, 64)), rng.normal(size=(1500, 64))
+    right[:700] = left[:700] + rng.normal(size=(700, 64)) * 0.05
+    unit = [x / np.linalg.norm(x, axis=1)[:, None] for x in (left, right)]
+    codes = [embeddings.Codes(*embeddings.quantise(u)) for u in unit]
+    rows, cols = embeddings.tile_survivors(*codes, 0.9)
+    assert rows[:700].all() and cols[:700].all() and rows[700:].sum() + cols[700:].sum() < 5
+    one = np.ones(2000, np.int64)
+    count, parent, computed = embeddings.tile_links((codes[0], unit[0]), (codes[1], unit[1]), 0.9, one, one[:1500])
+    linked = unit[0] @ unit[1].T >= 0.9
+    assert (count == np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))).all()
+    assert (parent[2000:2700] == np.arange(700)).all() and linked.sum() <= computed < linked.sum() + 50
+
+
+def test_a_dense_group_is_one_product():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(600, 64)) * 0.05
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    codes = embeddings.Codes(*embeddings.quantise(unit))
+    count, parent, _ = embeddings.tile_links((codes, unit), None, 0.9, np.ones(600, np.int64), np.ones(600, np.int64))
+    assert (count == 599).all() and (parent == 0).all()
