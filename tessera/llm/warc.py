@@ -12,7 +12,10 @@ Nulls and edge cases: a null payload is empty and a null url gives a record
 without a target; a null id sorts below all others (if a group has only null
 ids, each is a response); rows that repeat the largest id of their group are
 responses too; control characters in a url are percent-encoded in the header;
-an empty table gives an archive without records.
+an empty table gives an archive without records; keys are percent-encoded in the
+header, whatever characters they have.  A member whose header decodes but whose rest
+does not, bytes after a record that are no member, and an archive with another number
+of records than its manifest says are errors, not missing records.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._base import scratch_path, sized, table, written
+from tessera.llm._base import scoped, scratch_path, sized, table, written
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 16 << 20
@@ -96,11 +100,11 @@ def record_bytes(key: object, url: str | None, payload: bytes, digest: str, refe
     if url is not None:
         head["WARC-Target-URI"] = _header_value(url)
     if key is not None:
-        head["X-Row-Key"] = str(key)
+        head["X-Row-Key"] = quote(str(key), safe="")
     if revisit:
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         head["WARC-Refers-To"] = record_id(refers_to, digest)
-        head["X-Refers-To-Row-Key"] = str(refers_to)
+        head["X-Refers-To-Row-Key"] = quote(str(refers_to), safe="")
     head["Content-Length"] = str(len(block))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
     pack = zlib.compressobj(4, zlib.DEFLATED, 31)
@@ -137,26 +141,26 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     return written(rows.mapInArrow(write, "file string, bytes long, records long"), "manifest")
 
 
-def _member(f, start: int, size: int) -> tuple[bytes, int] | None:
-    """The decoded member at ``start`` and its end, or None if there is none."""
+def _member(f, start: int, size: int) -> tuple[bytes, int] | bool:
+    """The decoded member at ``start`` and its end; else whether one has begun there that cannot be decoded."""
     f.seek(start)
     unpack, parts, at = zlib.decompressobj(31), [], start
     checked = False
     while not unpack.eof:
         chunk = f.read(4096 if not checked else 1 << 18)
         if not chunk:
-            return None
+            return checked
         at += len(chunk)
         try:
             parts.append(unpack.decompress(chunk))
         except zlib.error:
-            return None
+            return checked
         if not checked:
             seen = b"".join(parts)[:5]
             if seen != b"WARC/"[: len(seen)]:
-                return None
+                return False
             checked = len(seen) == 5
-    return (b"".join(parts), at - len(unpack.unused_data)) if checked else None
+    return (b"".join(parts), at - len(unpack.unused_data)) if checked else False
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -183,17 +187,28 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes] | N
     return fields, {}, block
 
 
-def records_in(f, size: int, start: int, end: int) -> Iterator[tuple[int, tuple]]:
-    """Records that start in ``start..end`` of an open archive of ``size`` bytes."""
+def records_in(f, size: int, start: int, end: int, damaged: list[int] | None = None) -> Iterator[tuple[int, tuple]]:
+    """Records that start in ``start..end`` of an open archive of ``size`` bytes.
+
+    ``damaged`` gets the places of members that have begun and cannot be decoded,
+    and of bytes after a record that are no member.
+    """
     at = start
     window, base = b"", start
+    told = damaged if damaged is not None else []
+    after = None  # the end of the record before
     while at < end:
         if not base <= at < base + max(0, len(window) - 2):
             f.seek(at)
             window, base = f.read(min(1 << 20, size - at)), at
             if len(window) < 3:
+                if window and after == at:
+                    told.append(at)
                 return
         found = window.find(_MAGIC, at - base)
+        if after is not None and base + found != after:
+            told.append(after)
+        follows, after = after, None
         if found < 0:
             at = base + max(1, len(window) - 2)
             continue
@@ -201,12 +216,14 @@ def records_in(f, size: int, start: int, end: int) -> Iterator[tuple[int, tuple]
         if at >= end:
             return
         member = _member(f, at, size)
-        record = parse_record(member[0]) if member else None
+        record = parse_record(member[0]) if isinstance(member, tuple) else None
         if record is None:
+            if member or at == follows:
+                told.append(at)
             at += 1
             continue
         yield at, record
-        at = member[1]
+        at = after = member[1]
 
 
 def digest_hex(field: str | None) -> str | None:
@@ -228,8 +245,12 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], split_bytes: in
         for batch in batches:
             for one in batch.to_pylist():
                 rows, held = [], 0
+                damaged: list[int] = []
                 with _open(one["file"], "rb") as f:
-                    for at, (fields, http, payload) in records_in(f, one["size"], one["start"], one["end"]):
+                    for at, (fields, http, payload) in records_in(f, one["size"], one["start"], one["end"], damaged):
+                        for name in ("x-row-key", "x-refers-to-row-key"):
+                            if name in fields:
+                                fields[name] = unquote(fields[name])
                         digest = digest_hex(fields.get("warc-payload-digest"))
                         if fields["warc-type"] == "response" and digest and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{one['file']} at {at}: the payload does not have its digest")
@@ -238,22 +259,36 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], split_bytes: in
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows, held = [], 0
+                if damaged:
+                    raise ValueError(f"{one['file']}: no whole record at {damaged[0]}")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return todo.mapInArrow(read, RECORD)
 
 
+def complete(records: DataFrame, manifest: list) -> DataFrame:
+    """The (written) records, after every file has been found to have as many as its manifest says."""
+    found = {r["file"]: r["n"] for r in records.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each file
+    wrong = [r["file"] for r in manifest if found.get(r["file"], 0) != r["records"]]
+    if wrong:
+        raise ValueError(f"{len(wrong)} archives do not have the records of their manifest, such as {wrong[0]}")
+    return records
+
+
+@scoped
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest = write_warc(pages, scratch_path(spark, "warc")).collect()  # a row for each file
     records = read_warc(spark, [(r["file"], r["bytes"]) for r in manifest])
     revisit = F.col("warc_type") == "revisit"
     key_type = pages.schema["page_id"].dataType
-    return records.select(
+    told = records.select(
+        "file",
         F.col("headers")["x-row-key"].cast(key_type).alias("page_id"),
         F.when(revisit, F.col("http_headers")["content-length"].cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.col("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.col("headers")["x-refers-to-row-key"].cast(key_type).alias("refers_to"),
     )
+    return complete(written(told, "records"), manifest).drop("file")
