@@ -4,7 +4,8 @@ A row's shard follows from its key and the number of shards alone; no ring table
 is kept.  When a shard is appended, a row either stays or goes to the new shard,
 and only about one in ``n + 1`` rows goes.
 
-Nulls and edge cases: a null key is hashed as a key of its own; a null text
+Nulls and edge cases: integers are keys as they are, and other types (texts,
+decimals, dates) by their hash; a null key is hashed as a key of its own; a null text
 counts as no bytes and has the checksum of an empty text; equal keys share a
 shard; an empty table gives an empty result; other columns of the input are not
 looked at.
@@ -19,8 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from tessera.llm._base import gapless, table, written
+from tessera.llm._base import gapless, quoted, table, written
 from tessera.llm._words import mix64
 
 _MULTIPLIER = np.uint64(2862933555777941757)
@@ -46,14 +48,22 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def jump_column(key, shards: int):
-    """The shard of a key column: integers are used as they are, other types by their hash."""
+    """The shard of a column of 64-bit integers; null is a key of its own."""
 
     @pandas_udf("int")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for keys in parts:
             yield pd.Series(jump(keys.to_numpy(np.int64), shards).astype(np.int32))
 
-    return of(F.coalesce(key.cast("long"), F.lit(_NULL_KEY)))
+    return of(F.coalesce(key, F.lit(_NULL_KEY)))
+
+
+def stable_key(docs: DataFrame, key: str):
+    """A column's integers as they are, and other types by their 64-bit hash."""
+    column = F.col(quoted(key))
+    if isinstance(docs.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return column.cast("long")
+    return F.when(column.isNotNull(), F.xxhash64(column))
 
 
 def shard(docs: DataFrame, key: str, shards: int = 8, payload: list | None = None) -> DataFrame:
@@ -62,7 +72,8 @@ def shard(docs: DataFrame, key: str, shards: int = 8, payload: list | None = Non
     ``slot`` numbers a shard's rows from 0 without gaps; ``grown_shard`` is the
     shard after one more is appended.
     """
-    placed = docs.select(F.col(key), *(payload or []), jump_column(F.col(key), shards).alias("shard"), jump_column(F.col(key), shards + 1).alias("grown_shard"))
+    of = stable_key(docs, key)
+    placed = docs.select(F.col(quoted(key)), *(payload or []), jump_column(of, shards).alias("shard"), jump_column(of, shards + 1).alias("grown_shard"))
     return gapless(written(placed, "shard"), ["shard"], "slot")
 
 
