@@ -118,12 +118,12 @@ def released(spark: SparkSession) -> None:
 
 def row_of(df: DataFrame):
     """The row in one column, so that no name of it meets one of ours."""
-    return F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
 
 
 def row_columns(df: DataFrame, row: str, **instead):
     """The columns of ``df`` out of ``row_of``'s column, with other values for some."""
-    return [(instead[c] if c in instead else F.col(row)[f"c{i}"]).alias(c) for i, c in enumerate(df.columns)]
+    return [(instead[c] if c in instead else F.col(row)[c]).alias(c) for c in df.columns]
 
 
 def quoted(name: str) -> str:
@@ -135,8 +135,8 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
-def gapless(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``df`` (a written table) with ``name``: 0, 1, ... within each key, by file and row.
+def gapless(df: DataFrame, keys: list[str], name: str, position: bool = False) -> DataFrame:
+    """``df`` (a written table) with ``name``: 0, 1, ... within each key, by file and row (and those, if wanted).
 
     Each file's rows of a key are numbered by themselves and shifted by the counts
     of the files before it, so a key with most of the rows is still numbered by
@@ -152,4 +152,4 @@ def gapless(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     for i, k in enumerate(keys):
         match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = local.join(shift, match)
-    return out.select(*df.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
+    return out.select(*df.columns, *(["_file", "_row"] if position else []), (F.col("_at") + F.col("_shift")).cast("long").alias(name))

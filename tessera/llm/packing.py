@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._base import gapless, table, written
+from tessera.llm._base import gapless, quoted, scoped, table, with_position, written
 
 LIMIT = 1024
 END_ID = 2
@@ -38,25 +39,58 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str):
+def _split(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What merging by the ranks of joined parts makes of a token before its own rank."""
+    parts, own = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while True:
+        rank, at = min(((ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(own, 0))
+        if rank >= own:
+            return parts
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+@lru_cache(maxsize=8)
+def ranks_tell_merges(path: str) -> bool:
+    """Whether a file is plain byte-level BPE whose merges follow from its tokens' ranks alone.
+
+    Merging by pairs takes the pair of least rank; merging by ranks takes the two
+    neighbours whose joined token has the least rank.  The two agree on every text
+    if each token's pair is what merging by ranks makes of the token: whenever two
+    neighbours join to a token, no merge went across its ends, so they are those
+    that it is made of by itself.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    base = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}
+    merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return False
+    ordered = [base[a + b] for a, b in merges]
+    if ordered != sorted(set(ordered)) or len(ordered) + 256 != len(base):
+        return False
+    of = _byte_of()
+    ranks = {bytes(of[c] for c in k): v for k, v in base.items()}
+    return all(_split(bytes(of[c] for c in a + b), ranks) == [bytes(of[c] for c in x) for x in (a, b)] for a, b in merges)
+
+
+def encoder(path: str, plain: bool | None = None):
     """``text -> ids`` of a byte-level BPE file of the tokenizers library.
 
     The file's own ranks are given to tiktoken, which yields the same ids several
-    times faster; a text that spells a special token, and a file that is not plain
-    byte-level BPE, goes to the tokenizers library itself.
+    times faster, if they tell the merges (``plain``; found out where it is not
+    given); a text that spells a special token, and other files, go to the
+    tokenizers library itself.
     """
     if path in _encoders:
         return _encoders[path]
+    plain = ranks_tell_merges(path) if plain is None else plain
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     library: list = []
     special = [t["content"] for t in spec.get("added_tokens", [])]
-    vocab = spec["model"]["vocab"]
-    merges = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
-    base = {k: v for k, v in vocab.items() if k not in special}
-    ordered = [vocab[a + b] for a, b in merges]
-    pre = spec.get("pre_tokenizer") or {}
-    plain = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and ordered == sorted(set(ordered)) and len(ordered) + 256 == len(base)
+    base = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}
 
     def by_library(text: str) -> np.ndarray:
         if not library:  # loaded where it is needed: it takes memory in every worker
@@ -94,10 +128,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     key_type = docs.schema[key].dataType
+    plain = ranks_tell_merges(tokenizer)
     out = f"`{key}` {key_type.simpleString()}, piece int, start long, length long, ids binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, plain)
         for batch in batches:
             rows: list[int] = []
             parts: tuple[list, list, list, list] = ([], [], [], [])
@@ -116,7 +151,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                     rows, parts, held = [], ([], [], [], []), 0
             yield _piece_batch(batch, rows, parts)
 
-    return docs.select(key, text).mapInArrow(cut, out)
+    return docs.select(F.col(quoted(key)), F.col(quoted(text))).mapInArrow(cut, out)
 
 
 def _piece_batch(batch: pa.RecordBatch, rows: list, parts: tuple) -> pa.RecordBatch:
@@ -124,6 +159,34 @@ def _piece_batch(batch: pa.RecordBatch, rows: list, parts: tuple) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([keys, pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int64()), pa.array(parts[3], pa.binary())], names=[batch.schema.names[0], "piece", "start", "length", "ids"])
 
 
+class Sums:
+    """The sums of one, two and three lengths that are there, by the gap that they fill exactly."""
+
+    def __init__(self, left: np.ndarray, limit: int):
+        self.left = left
+        self.lengths = np.flatnonzero(left)
+        a, b = (x.reshape(-1) for x in np.meshgrid(self.lengths, self.lengths, indexing="ij"))
+        some = (a >= b) & (a + b < limit)
+        a, b = a[some], b[some]
+        order = np.lexsort((-a, a + b))
+        self.a, self.b = a[order], b[order]
+        self.at = np.searchsorted(self.a + self.b, np.arange(limit + 2))
+
+    def pairs(self, gap: int, most: int) -> list[tuple[int, int]]:
+        """Pairs of lengths that are left, neither over ``most``, the most unequal first."""
+        if gap < 2:
+            return []
+        a, b = self.a[self.at[gap] : self.at[gap + 1]], self.b[self.at[gap] : self.at[gap + 1]]
+        some = (a <= most) & (self.left[a] > 0) & (self.left[b] > 0)
+        return list(zip(a[some].tolist(), b[some].tolist(), strict=True))
+
+    def triples(self, gap: int, most: int) -> Iterator[tuple[int, int, int]]:
+        for a in self.lengths[::-1].tolist():
+            if a <= most and 3 * a >= gap > a and self.left[a]:
+                for b, c in self.pairs(gap - a, a):
+                    yield a, b, c
+
+
 def plan(counts: dict[int, int], limit: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Combinations ``[(length, times), ...]`` and how many sequences use each."""
     left = np.zeros(limit + 1, np.int64)
@@ -142,25 +205,19 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[list[tuple[int, int]]
                 left[x] -= k * n
 
     use(limit)
+    sums = Sums(left, limit)
     for longest in range(limit - 1, 0, -1):
         gap = limit - longest
         if left[longest] and left[gap]:
             use(longest, gap)
-        a = min(gap - 1, longest)
-        while left[longest] and a * 2 >= gap:
-            if left[a] and left[gap - a]:
-                use(longest, a, gap - a)
-            a -= 1
-        a = min(gap - 2, longest)
-        while left[longest] and a * 3 >= gap:
-            if left[a]:
-                rest = gap - a
-                b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-                for one in b[(left[b] > 0) & (left[rest - b] > 0)]:
-                    if not (left[longest] and left[a]):
-                        break
-                    use(longest, a, int(one), rest - int(one))
-            a -= 1
+        for some in sums.pairs(gap, longest) if left[longest] else ():
+            if not left[longest]:
+                break
+            use(longest, *some)
+        for some in sums.triples(gap, longest) if left[longest] else ():
+            if not left[longest]:
+                break
+            use(longest, *some)
     # best fit of the rest: open sequences by the room they have left
     room: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     for length in range(limit, 0, -1):
@@ -202,9 +259,8 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
         base += many
     lookup = {k: np.array(v, np.int64) for k, v in steps.items()}
 
-    ranked = gapless(cut, ["length"], "_rank")
-    schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
-    names = schema.names
+    # only lengths are exchanged; the rest of a piece is joined to its place by file and row
+    ranked = gapless(cut.select("length"), ["length"], "_rank", position=True)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +273,13 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
                 k = rank[mine] - low
                 sequence[mine] = first + k // each
                 offset[mine] = at + k % each * one
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-2]], pa.array(sequence), pa.array(offset)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_row"), pa.array(sequence), pa.array(offset)], names=["_f", "_r", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(lay, schema)
+    places = ranked.mapInArrow(lay, "_f string, _r long, sequence_id long, offset long")
+    return with_position(cut).join(places, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select(*cut.columns, "sequence_id", "offset")
 
 
+@scoped
 def op10_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces(table(spark, sf_dir, "documents"))
     slim = written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")

@@ -118,3 +118,41 @@ def test_packing_of_documents(docs, frame, library, limit):
 def test_packing_of_nothing(spark):
     none = packing.pieces(spark.createDataFrame([], "doc_id long, text string"))
     assert packing.pack(written(none, "pieces")).collect() == []
+
+
+def test_keys_of_other_types(spark):
+    """Texts, decimals and dates go by their hash: equal keys together, a null on its own, growth only into the new shard."""
+    rows = spark.range(600).select((F.col("id") % 300).cast("string").alias("s"), (F.col("id") % 300 / 7).cast("decimal(20,6)").alias("d"), F.expr("date_add(date'2020-01-01', cast(id % 300 as int))").alias("t"), F.when(F.col("id") % 2 == 0, F.col("id").cast("short")).alias("n"))
+    for key in ("s", "d", "t", "n"):
+        out = sharding.shard(rows.withColumn("a.b", F.lit(1)), key).collect()
+        assert len(out) == 600
+        where = {}
+        for r in out:
+            assert where.setdefault(r[key], (r["shard"], r["grown_shard"])) == (r["shard"], r["grown_shard"])
+            assert r["grown_shard"] in (r["shard"], 8)
+        assert {r["shard"] for r in out} == set(range(8))
+
+
+def test_very_long_texts_are_cut_whole(spark, library):
+    text = "word " * 120_000
+    cut = packing.pieces(spark.createDataFrame([(1, text, 2)], "doc_id long, text string, ids int")).orderBy("piece").collect()
+    ids = library.encode(text, add_special_tokens=False).ids + [2]
+    assert b"".join(bytes(r["ids"]) for r in cut) == np.array(ids, "<u4").tobytes()
+    assert [r["length"] for r in cut[1:]] == [1024] * (len(cut) - 1) and sum(r["length"] for r in cut) == len(ids)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_plans_come_near_the_least_number_of_sequences(seed):
+    rng = np.random.default_rng(seed)
+    lengths, n = np.unique(np.clip(rng.lognormal(5.5, 0.9, 30_000), 1, 1024).astype(int), return_counts=True)
+    made = packing.plan(dict(zip(lengths.tolist(), n.tolist(), strict=True)), 1024)
+    # whole sequences' worth of ids, or what no two of which fit together
+    least = max(-(-int(lengths @ n) // 1024), int(n[lengths > 512].sum()))
+    assert sum(many for _, many in made) <= 1.003 * least + 1
+
+
+def test_ranks_tell_merges_of_the_given_file_only():
+    assert packing.ranks_tell_merges(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not packing.ranks_tell_merges(public_tokenizers.path("word_bpe_49k.json"))
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"ab": 4, b"abc": 5}
+    assert packing._split(b"abc", ranks) == [b"a", b"bc"]
