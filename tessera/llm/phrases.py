@@ -5,11 +5,17 @@
    windows have equal anchors, so only windows whose anchor occurs twice or more
    are hashed and counted.  Those that occur twice give, for every later place,
    the place of the first, and runs of such places are passages.
-2. *Compile automata.*  Documents with such places are dealt into shards, and each
-   shard's passages, cut from the text of their first place, make its
-   Aho-Corasick automata (several, if one would get large).
-3. *Stream the documents* of a shard through its automata.  A removal rests on
-   equal strings, never on a hash.
+2. *Compile automata.*  Documents with such places are dealt into shards of a bounded
+   number of bytes, and each shard's passages, cut from the text of their first
+   place, make its Aho-Corasick automata (several, if one would get large).
+3. *Stream the documents* of a shard through its automata.  Documents without any
+   window that occurs elsewhere are not streamed: step 1 has looked at each window of
+   each of them.
+
+A window is removed only if its words equal the earlier one's, and a text as a copy
+only if its words have the same 128-bit BLAKE2b digest as the first one's.  Windows
+are paired by 64-bit hashes; should two of them that differ share one, a repeat could
+be left standing.
 
 All places are numbers: a text's first word has as many words before it as the
 texts of smaller ids have together.  So two integers describe an occurrence, and
@@ -28,6 +34,7 @@ result; other columns are not looked at (or pass unchanged).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +42,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm._base import released, sized, table, with_position, written
-from tessera.llm._words import Words, mix64, slices, text_bytes
+from tessera.llm._base import quoted, released, row_columns, row_of, scoped, sized, table, with_position, written
+from tessera.llm._words import Words, slices, text_bytes
 
 WINDOW = 20
 ANCHOR = 8
@@ -44,19 +51,16 @@ ANCHOR = 8
 _RUN = 256
 #: Characters of phrases in one automaton at most.
 _AUTOMATON_CHARS = 1_000_000
-_SHARD_CHARS = 1_000_000
+#: Bytes of texts in a shard.
+_SHARD_BYTES = 1 << 21
 
 
-def sequence_prints(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each document's sequence of words."""
-    doc = w.doc_of()
-    place = (np.arange(len(w)) - w.first[doc]).astype(np.uint64)
-    out = []
-    for seed in (0x51ED27, 0xA3C59A):
-        total = np.zeros(len(w.count), np.uint64)
-        np.add.at(total, doc, mix64(h ^ np.uint64(seed)) * (mix64(place) | np.uint64(1)))
-        out.append(mix64(total + w.count.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+def sequence_prints(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of each document's sequence of words."""
+    raw = w.buf.tobytes()
+    out = b"".join(blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(w.docs[:-1].tolist(), w.docs[1:].tolist(), strict=True))
+    both = np.frombuffer(out, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _words_of(column: pa.Array) -> Iterator[tuple[int, Words]]:
@@ -74,7 +78,7 @@ def described(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
         for batch in batches:
             n, x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, w in _words_of(batch.column(batch.num_columns - 1)):
-                fx, fy = sequence_prints(w, w.hashes())
+                fx, fy = sequence_prints(w)
                 n.append(w.count.astype(np.int64))
                 x.append(fx)
                 y.append(fy)
@@ -113,7 +117,7 @@ def _emitted(docs: DataFrame, key: str, text: str, size: int, windows: bool) ->
             for i, w in _words_of(batch.column(1)):
                 n = len(w.count)
                 h = w.hashes()
-                x, y = sequence_prints(w, h)
+                x, y = sequence_prints(w)
                 inside, at, least = anchors(w, h, size)
                 start = np.flatnonzero(inside)
                 doc = w.doc_of()[start]
@@ -179,7 +183,7 @@ def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame
             keep = [np.zeros(0, bool)]
             x, y = (batch.column(k).to_numpy() for k in (2, 3))
             for i, w in _words_of(batch.column(1)):
-                fx, fy = sequence_prints(w, w.hashes())
+                fx, fy = sequence_prints(w)
                 keep.append((fx == x[i : i + len(fx)]) & (fy == y[i : i + len(fy)]))
             yield batch.select([0, 1]).filter(pa.array(np.concatenate(keep)))
 
@@ -238,6 +242,7 @@ def _spans(removed: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+@scoped
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """The spans of words to remove: for each text with any (by fingerprints and first id) ``_spans``.
 
@@ -246,7 +251,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     if size < ANCHOR:
         raise ValueError(f"a window must have at least {ANCHOR} words")
     spark = docs.sparkSession
-    rows = written(described(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body", ["_key"]), "described")
+    docs, key, text = docs.select(F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body")), "_key", "_body"
+    rows = written(described(docs, text, [key]), "described")
     equal = rows.filter(F.col("_n") >= size).groupBy("_x", "_y").agg(F.min("_key").alias("_first"), F.first("_n").alias("_n"), (F.count(F.lit(1)) > 1).alias("_copies"))
     equal = written(equal, "equal")
     firsts = _ordered(equal.select("_first", "_n", "_x", "_y"))
@@ -279,11 +285,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     texts = written(texts.dropDuplicates(["_base"]) if again else texts, "texts")
     cut = written(_phrase_texts(texts, phrases, size), "phrases")
     released(spark)
-    volume = cut.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()[0]
-    shards = max(256, int(volume // _SHARD_CHARS) + 1)
+    placed = runs.select("base").distinct()
+    scanned = texts.withColumnRenamed("_base", "base").join(placed, "base")
+    volume = scanned.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    shards = int(volume // _SHARD_BYTES) + 1
     shard = F.pmod(F.xxhash64("base"), F.lit(shards))
     needed = runs.select(shard.alias("shard"), "fbase", "fs", "k").distinct().join(cut, ["fbase", "fs", "k"]).select("shard", "phrase", (F.col("fbase") + F.col("fs")).alias("place"), (F.col("k") + size - 1).alias("n"))
-    scanned = texts.withColumnRenamed("_base", "base").join(runs.select("base").distinct(), "base").select(shard.alias("shard"), "base", "_text")
+    scanned = scanned.select(shard.alias("shard"), "base", "_text")
 
     def stream(left: pa.Table, right: pa.Table) -> pa.Table:
         some = [(base, text.encode().split()) for base, text in zip(left.column("base").to_pylist(), left.column("_text").to_pylist(), strict=True)]
@@ -305,14 +313,15 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.filter("_n > 0").groupBy("_key", "_x", "_y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).isEmpty()
 
 
-def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, joined: bool = False) -> DataFrame:
-    """All columns with the text without its repeated words, ``_words`` and ``_removed`` (counts).
+def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, joined: bool = False, counts: tuple[str, str] | None = ("_words", "_removed")) -> DataFrame:
+    """All columns with the text without its repeated words, and columns ``counts`` (words before, words removed).
 
     ``joined``: kept words have one space between them; else the white space
     after a kept word stays, and a text that loses nothing is unchanged.
     """
-    # the row in one column, so that no name of it meets one of ours
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
+    if counts and set(counts) & set(docs.columns):
+        raise ValueError(f"the table has a column named like one of {counts}: give other names, or none")
+    rows = docs.select(row_of(docs).alias("_row"), F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body"))
     full = described(rows, "_body", ["_row", "_key", "_body"]).join(sized(told), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("_n").alias("b")))
     copy = F.col("_cx").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
@@ -351,7 +360,7 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(np.concatenate(counts)), pa.array(gone, pa.int64())], names=names)
 
     done = full.mapInArrow(cut, schema)
-    return done.select(*[F.col("_kept").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns], "_words", "_removed")
+    return done.select(*row_columns(docs, "_row", **{text: F.col("_kept")}), *[F.col(c).alias(to) for c, to in zip(("_words", "_removed"), counts or (), strict=False)])
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

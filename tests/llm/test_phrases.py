@@ -73,3 +73,27 @@ def test_digest(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r["doc_id"]: r for r in op9_phrase_automata(spark, str(tmp_path)).collect()}
     assert rows[1]["kept_sha256"] == hashlib.sha256(b"a b").hexdigest() and rows[2]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_columns_of_any_name_pass(spark):
+    rows = spark.createDataFrame([(1, "a b", 7, 8, 9)], "doc_id long, text string, _words int, _removed int, `a.b` int")
+    told = phrases.repeated(rows)
+    assert phrases.remove(rows, told, counts=None).collect() == rows.collect()
+    assert phrases.remove(rows, told, counts=("before", "gone")).columns == [*rows.columns, "before", "gone"]
+    with pytest.raises(ValueError):
+        phrases.remove(rows, told)
+
+
+def test_shards_follow_the_texts_that_are_scanned(spark, monkeypatch):
+    """One passage in all documents: its documents are dealt into many shards."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(phrases, "_SHARD_BYTES", 2000)
+    rng = random.Random(2)
+    passage = prose(rng, 30)
+    rows = [(i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(120)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    got = phrases.remove(whole, phrases.repeated(whole), joined=True).collect()
+    assert order((r["doc_id"], r["_words"], r["_removed"], r["text"].encode()) for r in got) == order(brute(rows))
