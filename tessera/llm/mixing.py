@@ -16,7 +16,8 @@ sizes do not slow them down, and no rate is stored until the end.  They end when
 every total is within ``REACHED`` of its target, or else, where the targets cannot
 all be met so far, at the optimum: when the residuals of the rates are ``y`` to
 within ``TOLERANCE``, that is, when the projected gradient vanishes.  If neither is
-reached, there is an error and no result.
+reached, there is an error and no result.  The query and the pipeline ask for the
+optimum itself (``reached`` 0).
 
 The classifier is a softmax regression on which hashed words (``BUCKETS`` of
 them) a document has and on a few shares, fitted on at most ``TRAINING_ROWS``
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tessera.llm._base import sized, table, written
+from tessera.llm._base import quoted, row_of, scoped, table, written
 from tessera.llm._words import LOWER, Words, slices, text_bytes
 
 BUCKETS = 1 << 17
@@ -56,8 +57,12 @@ REACHED = 0.02
 TOLERANCE = 1e-9
 #: Shares of a step that one pass tries.
 _TRIALS = 0.25 ** np.arange(12)
+#: Documents with no more than this posterior of a domain count as others, where a domain is to keep nothing of its own.
+DOUBT = 0.25
 #: Domains, in the order of the classifier's classes.
 DOMAINS = ("plain", "poor", "toxic")
+#: The query's factors.
+TARGETS = (1.25, 0.5, None)
 
 
 #: Upper-case letters fall to lower case and ASCII marks to spaces.
@@ -285,25 +290,30 @@ def classes_of(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return some.groupBy("_label_key").agg(F.max("_class").cast("int").alias("_class"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...], key: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS) -> tuple[DataFrame, np.ndarray]:
+@scoped
+def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...], key: str = "doc_id", text: str = "text", rows: int = TRAINING_ROWS, reached: float = REACHED) -> tuple[DataFrame, np.ndarray]:
     """``_row`` (all columns), ``_key``, ``_tokens``, ``_p`` and ``_rate`` of every row; and the domains' totals before.
 
-    ``targets`` are factors on the present totals of the domains.
+    ``targets`` are factors on the present totals of the domains.  None stands for
+    none of the domain's own documents: the target is what the documents with a
+    posterior of at most ``DOUBT`` add up to, which any that stay bring along.
     """
     k = len(targets)
-    members, classes = _training(docs, key, text, classes_of(labels), rows)
+    docs_key, docs_text = F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body")
+    members, classes = _training(docs.select(docs_key, docs_text), "_key", "_body", classes_of(labels), rows)
     weights = fit(members, classes, k)
-    narrow = written(with_posteriors(docs, text, weights, []), "posteriors")
-    totals = narrow.select(*[F.coalesce(F.sum(F.col("_tokens") * F.col("_p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
-    rates = solve(narrow, np.array(targets) * np.array([totals[i] for i in range(k)]))
-    # the row in one column, so that no name of it meets one of ours
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body"))
+    narrow = written(with_posteriors(docs.select(docs_text), "_body", weights, []), "posteriors")
+    part = [F.col("_tokens") * F.col("_p")[i] for i in range(k)]
+    some = narrow.select(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in part], *[F.coalesce(F.sum(F.when(F.col("_p")[i] <= DOUBT, x)), F.lit(0.0)) for i, x in enumerate(part)]).first()
+    totals, others = np.array(some[:k]), np.array(some[k:])
+    rates = solve(narrow, np.array([others[i] if t is None else t * totals[i] for i, t in enumerate(targets)]), reached=reached)
+    whole = docs.select(row_of(docs).alias("_row"), docs_key, docs_text)
     out = with_posteriors(whole, "_body", weights, ["_row", "_key"])
-    return out.withColumn("_rate", rate_column(rates, F.col("_p"))), np.array([totals[i] for i in range(k)])
+    return out.withColumn("_rate", rate_column(rates, F.col("_p"))), totals
 
 
 def op7_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates that halve the poor domain's tokens, raise the plain one's by a quarter and leave no toxic ones."""
+    """Rates that halve the poor domain's tokens, raise the plain one's by a quarter and leave no toxic documents."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    out, _ = mix(docs, labels, (1.25, 0.5, 0.0))
+    out, _ = mix(docs, labels, TARGETS, reached=0.0)
     return out.select(F.col("_key").alias("doc_id"), F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("_key")).alias("n_copies"))

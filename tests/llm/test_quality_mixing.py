@@ -25,6 +25,11 @@ def by_hand(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), lines, len(again)
 
 
+def test_repeated_single_words_are_counted():
+    got = quality.statistics(pa.array(["This This This that that x", "a", None, "a b a b", "p\np\tP"]))[-1]
+    assert got.tolist() == [3, 0, 0, 0, 1]
+
+
 def test_statistics_as_by_hand(docs):
     texts = [t for _, t in docs] + ["a\nb\na\n \n \na", "### a|b <x> 100% é$\u2003&", "p q r s t u v w " * 3, "\u00a0x\u3000y z"]
     got = quality.statistics(pa.array(texts, pa.string()))
@@ -58,12 +63,80 @@ def test_junk_goes_and_clean_text_stays(spark):
 
 
 def test_estimates_withstand_outliers(spark):
-    """The covariance's inverse stays near that of the clean part, whose distances follow chi-square."""
+    """Junk does not move them: clean texts' distances stay like those that clean texts alone would have."""
     docs = corpus(spark)
-    stats = quality.written(quality.with_statistics(docs, "text", ["lang", "source", "kind"]), "s")
     group = quality._group("lang", "source")
-    out = quality.judge(stats, quality.fit(stats, group), group).filter("kind = 'clean'").select("_q_distance").toPandas()["_q_distance"]
-    assert out.median() < 12 and out.max() < quality.CUTOFF
+
+    def distances(some):
+        stats = quality.written(quality.with_statistics(some, "text", ["doc_id", "lang", "source", "kind"]), "s")
+        out = quality.judge(stats, quality.fit(stats, group), group).filter("kind = 'clean'")
+        return out.select("doc_id", "_q_distance").toPandas().set_index("doc_id")["_q_distance"]
+
+    among, alone = distances(docs), distances(docs.filter("kind = 'clean'"))
+    assert among.max() < quality.CUTOFF
+    assert among.median() == pytest.approx(alone.median(), rel=0.2)
+
+
+def test_the_chi_square_factors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400_000, quality.FEATURES))
+    d = np.square(x).sum(axis=1)
+    inner = x[d <= np.quantile(d, quality.KEEP)]
+    assert np.square(inner).mean() == pytest.approx(quality.SHRINK, abs=0.005)
+    assert quality.chi_square(quality.CUTOFF, quality.FEATURES) == pytest.approx(1 - quality.REJECTED, abs=1e-9)
+    assert quality.chi_square_point(0.75, 6) == pytest.approx(7.8408, abs=1e-3) and quality.chi_square(7.8408, 8) / 0.75 == pytest.approx(0.734, abs=1e-3)
+
+
+def statistics_table(spark, rng, groups):
+    """Statistics of made-up documents: (lang, source, n, share of outliers) for each group."""
+    rows = []
+    for lang, source, n, odd in groups:
+        for i in range(n):
+            words = int(rng.integers(300, 900))
+            chars = int(words * rng.normal(5.0, 0.6))
+            row = dict(n_words=words, word_chars=chars, n_symbols=int(rng.integers(0, 30)), n_dup_lines=int(rng.integers(0, 8)), n_repeat_words=int(rng.integers(0, 90)), n_lines=30, n_upper=int(rng.integers(60, 240)), n_marks=int(rng.integers(50, 300)), n_same=int(rng.integers(0, 60)))
+            if i < odd * n:
+                row.update(n_upper=chars // 2, n_marks=chars // 3)
+            rows.append((lang, source, *[row[s] for s in quality.STATS]))
+    return quality.written(spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"_q_{s} long" for s in quality.STATS)), "s")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_least_determinant_as_by_brute_force(spark, seed):
+    """All subsets of a small table: no three quarters of it have a determinant that is less by more than the bins allow."""
+    from itertools import combinations
+
+    stats = statistics_table(spark, np.random.default_rng(seed), [("en", "a", 16, 0.19)])
+    got = quality.fit(stats, quality._group("lang", "source")).collect()
+    assert {r["g"] for r in got} == {"*", "*\x1f=en", "*\x1f=en\x1f=a"}
+    x = np.array([list(r) for r in stats.select(*quality.features()).collect()])
+    best = np.inf
+    for some in combinations(range(16), 12):
+        cov = np.cov(x[list(some)].T, bias=True) / quality.SHRINK + np.diag(np.square(quality.LEAST_SD))
+        best = min(best, np.linalg.slogdet(cov)[1])
+    for r in got:
+        assert best - 1e-6 <= r["ld"] <= best + 0.7, (r["ld"], best)
+
+
+def test_every_language_and_source_has_an_estimate_and_small_ones_shade_into_their_parents(spark):
+    rng = np.random.default_rng(5)
+    stats = statistics_table(spark, rng, [("en", "a", 600, 0.1), ("en", "b", 5, 0), ("de", "a", 300, 0.1), (None, None, 1, 0)])
+    fitted = {r["g"]: r for r in quality.fit(stats, quality._group("lang", "source")).collect()}
+    assert set(fitted) == {"*", "*\x1f=en", "*\x1f=en\x1f=a", "*\x1f=en\x1f=b", "*\x1f=de", "*\x1f=de\x1f=a", "*\x1fnull", "*\x1fnull\x1fnull"}
+    m = lambda g: np.array([fitted[g][f"m{i}"] for i in range(quality.FEATURES)])
+    assert np.abs(m("*\x1f=en\x1f=b") - m("*\x1f=en")).max() < np.abs(m("*")).max() * 0.2
+    judged = quality.judge(stats, quality.fit(stats, quality._group("lang", "source")), quality._group("lang", "source"))
+    rejected = judged.filter("not _q_kept").count()
+    assert rejected == 60 + 30
+
+
+def test_mixed_levels_are_those_of_added_documents():
+    rng = np.random.default_rng(7)
+    parent, own = rng.normal(size=(quality.PRIOR, 3)), rng.normal(1.0, 2.0, size=(20, 3))
+    level = lambda x: (np.array([float(len(x))]), x.mean(axis=0)[None], np.cov(x.T, bias=True)[None])
+    mean, cov = quality.mixed([level(parent), level(own)])
+    both = np.concatenate((parent, own))
+    assert mean[0] == pytest.approx(both.mean(axis=0)) and cov[0] == pytest.approx(np.cov(both.T, bias=True))
 
 
 def test_quality_of_odd_rows(docs, frame, spark):
@@ -149,6 +222,30 @@ def test_a_rare_domain_does_not_keep_the_others_from_their_targets(spark, shares
         mixing.solve(members, targets, steps=1)
 
 
+def test_the_querys_rates_are_the_optimum_and_meet_their_targets(spark):
+    """With the query's own parameters: no long run of plain projected gradient finds a lower value, and clean documents stay."""
+    docs, labels = mixed(spark)
+    out, before = mixing.mix(docs, labels, mixing.TARGETS, reached=0.0)
+    rows = out.select("_row.kind", "_tokens", "_p", "_rate").collect()
+    p, n, r = np.array([x["_p"] for x in rows]), np.array([x["_tokens"] for x in rows], float), np.array([x["_rate"] for x in rows])
+    kind = np.array([x["kind"] for x in rows])
+    others = (n[:, None] * np.where(p <= mixing.DOUBT, p, 0)).sum(axis=0)
+    targets = np.array([others[i] if t is None else t * before[i] for i, t in enumerate(mixing.TARGETS)])
+    assert np.abs(n * r @ p - targets).max() / before.max() < 0.01
+    scale_, whole = np.maximum(targets, before), n.sum()
+    value = lambda x: 0.5 * np.square(((n * x) @ p - targets) / scale_).sum() + mixing.MU / 2 * (n / whole * np.square(x - 1)).sum()
+    best = r.copy()
+    for start in (np.ones(len(r)), r + 0.2):
+        x = start
+        for _ in range(4000):
+            # preconditioned by each document's tokens
+            gradient = p @ (whole * ((n * x) @ p - targets) / scale_**2) + mixing.MU * (x - 1)
+            x = np.maximum(0, x - gradient / (2 * whole * (1 / scale_).max() ** 2 * whole))
+        best = x if value(x) < value(best) else best
+    assert value(r) <= value(best) + 1e-6
+    assert (r[kind > 1] >= 1).mean() > 0.99 and (r[kind == 0] < 0.2).mean() > 0.9
+
+
 def test_mixing_without_labels_and_of_odd_rows(docs, frame, spark):
     _, labels = mixed(spark, 5)
     out, _ = mixing.mix(frame(docs), labels.limit(0), (1.0, 1.0, 1.0))
