@@ -72,6 +72,50 @@ def test_mined_rules_as_by_brute_force(spark):
     assert got == kept
 
 
+def test_planted_rules_hold_on_pages_without_label(spark):
+    """At the base rate of the given tables: rules fire, and are right more often than the base rate says."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(4000):
+        host = rng.choice(["shop", "news", "blog", "m"]) + "." + rng.choice(["abc", "defg", "hij-k", "lm1"]) + ".example." + rng.choice(["com", "org"])
+        path = rng.choice(["en", "de"]) + "/" + rng.choice(["buy", "read", "list"]) + f"/{i}" + rng.choice(["", ".html"])
+        spam = host.startswith("shop") and "/buy" in path or "hij-k" in host
+        rows.append((i, f"http://{host}/{path}", rng.random() < (0.85 if spam else 0.1)))
+    u = F.col("url")
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean").withColumn("tokens", url_rules.tokens(u, *url_rules.host_and_path(u)))
+    rules = url_rules.written(url_rules.mine(pages.filter("page_id % 2 = 0")), "rules")
+    assert {frozenset(r["rule_tokens"]) for r in rules.collect()} == {frozenset({"host=shop", "path=buy"}), frozenset({"host=hij-k"})} or rules.count() == 2
+    held = url_rules.judge(pages.filter("page_id % 2 = 1"), rules, fixed=()).join(pages.select("page_id", "bad"), "page_id").collect()
+    blocked = [r["bad"] for r in held if r["verdict"] == "block"]
+    base = sum(r["bad"] for r in held) / len(held)
+    assert len(blocked) > 400 and sum(blocked) / len(blocked) > 0.8 > 2 * base
+    # labels that say nothing about urls give no rules
+    noise = pages.select("tokens", (F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0).alias("bad"))
+    assert url_rules.mine(noise).count() == 0
+
+
+def test_many_constant_folders_are_one_item(spark):
+    from pyspark.sql import functions as F
+
+    path = "/".join(f"f{i}" for i in range(40))
+    rows = [(f"http://{'bad' if i % 4 == 0 else 'fine'}.example.com/{path}/{i}", i % 4 == 0) for i in range(200)]
+    u = F.col("url")
+    train = spark.createDataFrame(rows, "url string, bad boolean").select(url_rules.tokens(u, *url_rules.host_and_path(u)).alias("tokens"), "bad")
+    assert [r["rule_tokens"] for r in url_rules.mine(train).collect()] == [["host=bad"]]
+
+
+def test_very_long_urls_and_clashing_names(spark):
+    long = "http://a.example.net/en/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, long, "t", 2, "h"), (1, long, "t", 2, "h")], "page_id long, url string, tokens string, confidence int, _url string")
+    none = spark.createDataFrame([], "rule_tokens array<string>, index_token string, confidence double, pages long")
+    got = url_rules.judge(pages, none).collect()
+    assert [(r["rule"], r["verdict"], len(r["path"])) for r in got] == [("example.net/en/", "allow", len(long) - 20)] * 2
+
+
 def test_without_labels(spark):
     none = spark.createDataFrame([], "tokens array<string>, bad boolean")
     assert url_rules.mine(none).count() == 0
