@@ -1,8 +1,10 @@
 """URL rules and license scans."""
 
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import license_scan, url_rules
 
@@ -148,11 +150,16 @@ def by_hand(text):
         labels |= {label} if here else set()
     own, best = set(labels), 1.0 if at else 0.0
     for t in license_scan.TEMPLATES:
-        for a in range(0, max(1, len(w)), t.window // 2):
-            share = len(set(t.words) & set(w[a : a + t.window])) / len(t.words)
-            if len(set(t.words) & set(w[a : a + t.window])) >= t.need:
-                own.add(t.label)
-                best = max(best, share)
+        # every block, by sliding one word at a time
+        here, most = Counter(), 0
+        for i, x in enumerate(w):
+            here[x] += x in t.words
+            if i >= t.window:
+                here[w[i - t.window]] -= w[i - t.window] in t.words
+            most = max(most, sum(here[y] > 0 for y in t.words) if x in t.words else 0)
+        if most >= t.need:
+            own.add(t.label)
+            best = max(best, most / len(t.words))
     return len(w), len(at), min(at, default=None), max(at, default=None), sorted(labels), sorted(own), best
 
 
@@ -164,9 +171,40 @@ def test_license_scan_as_by_brute_force(spark):
         n, k, first, last, base, all_, score = by_hand(TEXTS[r["doc_id"]])
         places = r["places"]
         assert (r["n_words"], len(places), min(places, default=None), max(places, default=None), r["base_labels"], r["labels"]) == (n, k, first, last, base, all_), TEXTS[r["doc_id"]]
-        if all_:
-            assert r["score"] == pytest.approx(score)
-        assert 0 <= r["score"] <= 1
+        assert r["score"] == pytest.approx(score)
+
+
+def test_blocks_that_start_anywhere_and_many_templates(spark):
+    """Passages spread out to just within and just beyond a window, and a library of hundreds of templates."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    library = tuple(license_scan.Template(f"t{i}", " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(8, 40)))) for i in range(200))
+    texts = []
+    for t in library[::10]:
+        words, gap = t.text.split(), rng.randrange(0, 5)
+        spread = [x for y in words for x in [y, *["z"] * gap]]
+        cut = [x for x in words if rng.random() < 0.85]
+        texts += [" ".join(["q"] * rng.randrange(60) + spread + ["q"] * 9), " ".join(cut), " ".join(reversed(words)) + " " + " ".join(words)]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (300, 3000)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("a.b", F.lit("x"))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs, templates=library, phrases={"q q": "qq"}).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        labels, best = set(), 0.0
+        for one in library:
+            kinds = set(one.words)
+            most = max((len(kinds & set(w[a : a + one.window])) for a in range(len(w))), default=0)
+            if most >= one.need:
+                labels.add(one.label)
+                best = max(best, most / len(kinds))
+        phrase = any(w[a : a + 2] == ["q", "q"] for a in range(len(w)))
+        found += len(labels)
+        assert set(got[i]["labels"]) == labels | ({"qq"} if phrase else set())
+        assert got[i]["score"] == pytest.approx(1.0 if phrase else best)
+    assert found > 30
 
 
 def test_license_scan_of_nothing(spark):
