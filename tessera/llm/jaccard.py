@@ -70,6 +70,8 @@ _TILE = 4096
 _FOLDED = 256
 #: Groups that a member remembers, so that a pair is made once.
 _REMEMBERED = 32
+#: Shingles (about as many as signatures) for each task that counts signatures.
+_PART_SHINGLES = 400_000
 #: Bytes of text whose shingles are handled at once.
 _SLICE = 1 << 18
 
@@ -505,7 +507,9 @@ def classes_of(docs: DataFrame, key: str, text: str, size: int, share: int) -> t
         sent = sent.join(sized(reps), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))).filter(F.col("_key").eqNullSafe(F.col("_first")))
         return sent.select(F.col("_id").alias("m"), F.explode("_sigs").alias("s"))
 
-    again = written(emission(False).groupBy(F.col("s").alias("sig")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    # most signatures are of one set: counting them before the exchange would only take memory
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(classes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // _PART_SHINGLES) + 1)
+    again = written(emission(False).select(F.col("s").alias("sig")).repartition(parts, "sig").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     released(spark)
     found = emission(True).join(sized(again), F.col("s.sig") == F.col("sig")).select("m", F.struct("n", "sig", "s.place").alias("f"))
     # a row for each set that shares a signature, with all of those: bounded by its text
