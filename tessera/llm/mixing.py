@@ -36,11 +36,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tessera.llm._base import quoted, row_of, scoped, table, written
@@ -166,10 +164,11 @@ def fit(members: list[np.ndarray], classes: np.ndarray, n_classes: int, steps: i
     return weights
 
 
-def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: list[str]) -> DataFrame:
-    """``columns`` with ``_tokens`` (runs of letters and digits, at least 1) and ``_p`` (the posterior)."""
+def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: list[str], rates: Rates | None = None) -> DataFrame:
+    """``columns`` with ``_tokens`` (runs of letters and digits, at least 1), ``_p`` (the posterior) and, by given rates, ``_rate``."""
     kept = docs.select(*columns, F.col(text).alias("_text"))
     schema = docs.select(*columns).schema.add("_tokens", "long").add("_p", ArrayType(DoubleType()))
+    schema = schema.add("_rate", "double") if rates is not None else schema
     names = schema.names
     weights = weights.astype(np.float32)
 
@@ -185,7 +184,8 @@ def with_posteriors(docs: DataFrame, text: str, weights: np.ndarray, columns: li
                 tokens.append(np.maximum(count, 1).astype(np.int64))
             p = np.concatenate(found)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(tokens)), lists], names=names)
+            more = [pa.array(rates.of(p))] if rates is not None else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(tokens)), lists, *more], names=names)
 
     return kept.mapInArrow(score, schema)
 
@@ -268,15 +268,6 @@ def solve(members: DataFrame, targets: np.ndarray, mu: float = MU, steps: int =
     return rates
 
 
-def rate_column(rates: Rates, p: Column) -> Column:
-    @pandas_udf("double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            yield pd.Series(rates.of(np.stack(some.to_numpy())) if len(some) else np.zeros(0))
-
-    return of(p)
-
-
 def copies(rate: Column, key: Column) -> Column:
     """A whole number of copies whose expectation is the rate, the same in every run."""
     chance = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
@@ -308,8 +299,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...], k
     totals, others = np.array(some[:k]), np.array(some[k:])
     rates = solve(narrow, np.array([others[i] if t is None else t * totals[i] for i, t in enumerate(targets)]), reached=reached)
     whole = docs.select(row_of(docs).alias("_row"), docs_key, docs_text)
-    out = with_posteriors(whole, "_body", weights, ["_row", "_key"])
-    return out.withColumn("_rate", rate_column(rates, F.col("_p"))), totals
+    return with_posteriors(whole, "_body", weights, ["_row", "_key"], rates), totals
 
 
 def op7_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
