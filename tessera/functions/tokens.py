@@ -19,6 +19,9 @@ TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
 
 class Tokenizer(Protocol):
+    #: Whether texts joined by white space have as many tokens as they have by themselves.
+    additive: bool
+
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Character ranges of the tokens, in order."""
 
@@ -28,6 +31,7 @@ class Tokenizer(Protocol):
 class RegexTokenizer:
     def __init__(self, pattern: str = TOKEN):
         self.pattern = regex.compile(pattern)
+        self.additive = pattern == TOKEN
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(text)]
@@ -39,6 +43,8 @@ class RegexTokenizer:
 class FileTokenizer:
     """A tokenizer file of the ``tokenizers`` library."""
 
+    additive = False
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Library
 

@@ -9,9 +9,11 @@ tokenizer; ``chunk_documents`` applies them to a DataFrame in Arrow batches.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,21 +81,28 @@ def section_id(parent: str, title: str, level: int, ordinal: int) -> str:
 ROOT_ID = section_id("", "", 0, 0)
 
 
-def pack_blocks(counted: Callable[[list[int]], int], n: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def pack_blocks(counted: Callable[[list[int]], int], n: int, limit: int, overlap: int, sizes: list[int] | None = None) -> list[tuple[int, int, int]]:
     """Chunks of ``n`` blocks as (first, first new, end).
 
-    ``counted`` gives the tokens of some blocks joined.  A block that alone is
-    over the limit is a chunk of its own.
+    ``counted`` gives the tokens of some neighbouring blocks joined.  A block that
+    alone is over the limit is a chunk of its own.  ``sizes``, the blocks' tokens by
+    themselves, tell about where a chunk ends, so that only few joined blocks are
+    counted for each chunk.
     """
     if not n:
         return []
-    if counted(list(range(n))) <= limit:
+    before = list(accumulate(sizes, initial=0)) if sizes else None
+    if (before is None or before[-1] <= 2 * limit) and counted(list(range(n))) <= limit:
         return [(0, 0, n)]
     out, i, first = [], 0, 0
     while i < n:
         if first < i and counted(list(range(first, i + 1))) > limit:
             first = i
         end = i + 1
+        if before:
+            end = max(end, min(n, bisect_right(before, before[first] + limit) - 1))
+            while end > i + 1 and counted(list(range(first, end))) > limit:
+                end -= 1
         while end < n and counted(list(range(first, end + 1))) <= limit:
             end += 1
         out.append((first, i, end))
@@ -115,7 +124,10 @@ def layered(root: markdown.Node, how: Layered, tokens: Tokenizer) -> tuple[list[
         def flush() -> None:
             nonlocal block_at, seq
             texts = [markdown.block_text(b) for b in held]
-            for a, _, b in pack_blocks(lambda some: tokens.count("\n\n".join(texts[i] for i in some)), len(held), how.max_chunk_tokens, how.overlap):
+            sizes = [tokens.count(t) for t in texts]
+            before = list(accumulate(sizes, initial=0))
+            joined = (lambda some: before[some[-1] + 1] - before[some[0]]) if tokens.additive else (lambda some: tokens.count("\n\n".join(texts[i] for i in some)))
+            for a, _, b in pack_blocks(joined, len(held), how.max_chunk_tokens, how.overlap, sizes):
                 text = "\n\n".join(texts[a:b])
                 n = tokens.count(text)
                 blocks = [{"block_index": block_at + i, "block_type": held[i].kind, "text": texts[i]} for i in range(a, b)]
@@ -249,15 +261,15 @@ def sentence_column(text: Column) -> Column:
 
 
 def packed(counts: Column, size: int) -> Column:
-    """For each sentence (token counts) the number of its chunk, packed greedily without overlap."""
-    state = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("of"))
+    """Chunks of sentences (token counts), packed greedily without overlap: the number of sentences and of tokens of each."""
+    state = F.struct(F.array().cast("array<struct<sentences:int,tokens:int>>").alias("done"), F.lit(0).alias("n"), F.lit(0).alias("held"))
+    with_last = lambda s: F.concat(s["done"], F.array(F.struct(s["n"].alias("sentences"), s["held"].alias("tokens"))))
 
     def step(s: Column, n: Column) -> Column:
         full = (s["held"] > 0) & (s["held"] + n > size)
-        chunk_no = F.when(full, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk_no.alias("chunk"), F.when(full, n).otherwise(s["held"] + n).alias("held"), F.concat(s["of"], F.array(chunk_no)).alias("of"))
+        return F.struct(F.when(full, with_last(s)).otherwise(s["done"]).alias("done"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, n).otherwise(s["held"] + n).alias("held"))
 
-    return F.aggregate(counts, state, step)["of"]
+    return F.aggregate(counts, state, step, lambda s: F.when(s["n"] > 0, with_last(s)).otherwise(s["done"]))
 
 
 def sentence_counts(sentences_: Column) -> Column:

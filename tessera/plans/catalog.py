@@ -1,9 +1,11 @@
 """Knowledge bases as versioned Parquet snapshots.
 
-A store has one folder for each table and version, and a small pointer file that
-names the present version of every table.  A change writes new versions of the
-tables that it touches and then replaces the pointer: readers see all of a change
-or none of it.  ``node`` and ``chunk`` are partitioned by knowledge base.
+A store has a folder for each table, knowledge base and version, and small numbered
+pointer files, of which the last names the present versions.  A change writes new
+versions of what it touches (one knowledge base's part of some tables) and then the
+next pointer, under a new name: readers see all of a change or none of it, and a crash
+leaves the pointer before.  Versions that none of the last ``KEPT`` pointers names are
+removed, so readers may go on with what they have begun to read.
 
 Writers are expected to take turns (one driver at a time), as for any folder of
 Parquet files without a transaction log.
@@ -30,7 +32,9 @@ SCHEMAS = {
     "node": "kb_name string, document_id long, node_id string, parent_id string, heading_path array<string>, title string, level int, sort_order int",
     "chunk": f"kb_name string, document_id long, node_id string, chunk_seq int, text string, blocks array<{BLOCK}>, figures array<{FIGURE}>, embedding array<float>, marker_embedding array<float>, markers array<string>",
 }
-PARTITIONED = ("document", "node", "chunk")
+PARTITIONED = ("document", "task", "node", "chunk")
+#: Pointers whose versions are kept.
+KEPT = 3
 STATUSES = ("pending", "running", "success", "failed", "canceled")
 #: A name is a folder's name and stays short.
 _NAME = re.compile(r"[A-Za-z0-9_]{1,60}")
@@ -59,11 +63,12 @@ def numbered(rows: DataFrame, keys: list[str], name: str, buckets: int = 1024) -
     return rows.withColumn(name, own).join(F.broadcast(shift), "_bucket").withColumn(name, (F.col(name) + F.col("_shift")).cast("long")).drop("_bucket", "_shift")
 
 
-def upsert_documents(old: DataFrame, new: DataFrame, now) -> DataFrame:
+def upsert_documents(old: DataFrame, new: DataFrame, now, largest: int | None = None) -> DataFrame:
     """Documents by (kb_name, filename): content and folder are replaced, id, frontmatter and creation time stay.
 
     ``new`` has kb_name, filename, source_dir and content; of rows with one key
-    the last by content wins.  New ids follow the largest without gaps.
+    the last by content wins.  New ids follow the largest (of ``old``, if it is not
+    given) without gaps.
     """
     key = ["kb_name", "filename"]
     one = new.groupBy(*key).agg(F.max(F.struct("source_dir", "content")).alias("_n")).select(*key, F.col("_n.source_dir").alias("_dir"), F.col("_n.content").alias("_content"))
@@ -71,8 +76,9 @@ def upsert_documents(old: DataFrame, new: DataFrame, now) -> DataFrame:
     fresh = F.col("document_id").isNull()
     # only the documents that are new are numbered
     added = numbered(joined.filter(fresh).select(*key), key, "_no")
-    largest = old.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("_largest"))
-    rows = joined.join(added, key, "left").join(F.broadcast(largest))
+    rows = joined.join(added, key, "left")
+    top = old.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("_largest"))
+    rows = rows.join(F.broadcast(top)) if largest is None else rows.withColumn("_largest", F.lit(largest))
     changed = F.col("_content").isNotNull()
     return rows.select(
         "kb_name",
@@ -157,40 +163,63 @@ class Store:
     spark: SparkSession
     root: str
     _pointer: dict = field(default_factory=dict)
+    _number: int = 0
 
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
-        if not files.exists(self.spark, self._at):
-            self._commit({t: self.spark.createDataFrame([], s) for t, s in SCHEMAS.items()})
-        else:
+        if self._pointers():
             self.refresh()
+        else:
+            self._commit({"kb_meta": None, **{t: {} for t in PARTITIONED}})
 
-    @property
-    def _at(self) -> str:
-        return f"{self.root}/pointer.json"
+    def _pointers(self) -> list[str]:
+        return files.listed(self.spark, f"{self.root}/pointer-*.json")
 
     def refresh(self) -> None:
-        self._pointer = json.loads(files.read_text(self.spark, self._at))
+        last = self._pointers()[-1]
+        self._pointer = json.loads(files.read_text(self.spark, last))
+        self._number = int(last.rsplit("-", 1)[1].removesuffix(".json"))
+
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        none = self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths).select(*none.columns) if paths else none
 
     def table(self, name: str) -> DataFrame:
-        frame = self.spark.read.schema(SCHEMAS[name]).parquet(self._pointer[name])
-        return frame.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns)
+        at = self._pointer[name]
+        return self._read(name, list(at.values()) if name in PARTITIONED else [at] if at else [])
 
     def kb(self, name: str, kb: str) -> DataFrame:
-        return self.table(name).filter(F.col("kb_name") == kb)
-
-    def _commit(self, changed: dict[str, DataFrame]) -> None:
-        """New versions of some tables, then the pointer; versions no longer named are removed."""
-        old, new = dict(self._pointer), dict(self._pointer)
-        for name, df in changed.items():
-            new[name] = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            writer = df.write.partitionBy("kb_name") if name in PARTITIONED else df.write
-            writer.parquet(new[name])
-        files.write_text(self.spark, self._at, json.dumps(new))
+        """A knowledge base's part of a table; nothing else is read."""
+        at = self._pointer[name].get(kb)
+        return self._read(name, [at] if at else [])
+
+    def _written(self, df: DataFrame, name: str, kb: str = "") -> str:
+        at = "/".join(filter(None, (self.root, name, kb, uuid.uuid4().hex)))
+        df.write.parquet(at)
+        return at
+
+    def _changed(self, kb: str, parts: dict[str, DataFrame]) -> None:
+        """New versions of a knowledge base's parts."""
+        new = {name: dict(at) if name in PARTITIONED else at for name, at in self._pointer.items()}
+        for name, df in parts.items():
+            new[name][kb] = self._written(df, name, kb)
+        self._commit(new)
+
+    @staticmethod
+    def _named(pointer: dict) -> set[str]:
+        return {p for t in PARTITIONED for p in pointer[t].values()} | ({pointer["kb_meta"]} if pointer["kb_meta"] else set())
+
+    def _commit(self, new: dict) -> None:
+        """The next pointer; then versions that none of the last pointers names are removed."""
+        self._number += 1
+        files.write_text(self.spark, f"{self.root}/pointer-{self._number:012d}.json", json.dumps(new))
         self._pointer = new
-        for name in changed:
-            if name in old:
-                files.delete(self.spark, old[name])
+        old = self._pointers()
+        kept = set().union(*(self._named(json.loads(files.read_text(self.spark, p))) for p in old[-KEPT:]))
+        for pointer in old[:-KEPT]:
+            for at in self._named(json.loads(files.read_text(self.spark, pointer))) - kept:
+                files.delete(self.spark, at)
+            files.delete(self.spark, pointer)
 
     @staticmethod
     def now():
@@ -213,29 +242,28 @@ class Store:
             raise CatalogError(f"the knowledge base {name!r} exists")
         mode = query_mode or ("hybrid" if llm_config else "vector")
         row = self.spark.createDataFrame([(name, json.dumps(chunk_config), json.dumps(embed_config), json.dumps(retrieval_config or {}), json.dumps(llm_config) if llm_config else None, dimension, mode)], "name string, chunk_config string, embed_config string, retrieval_config string, llm_config string, dimension int, query_mode string")
-        self._commit({"kb_meta": meta.unionByName(row.withColumn("created_at", self.now()))})
+        self._commit({**self._pointer, "kb_meta": self._written(meta.unionByName(row.withColumn("created_at", self.now())), "kb_meta")})
 
     def delete_kb(self, name: str) -> None:
         self.meta(name)
-        documents = self.table("document")
-        gone = documents.filter(F.col("kb_name") == name)
-        rest = lambda t: self.table(t).filter(F.col("kb_name") != name)
-        self._commit({"kb_meta": self.table("kb_meta").filter(F.col("name") != name), "task": cascade(self.table("task"), gone), **{t: rest(t) for t in PARTITIONED}})
+        rest = {t: {k: at for k, at in self._pointer[t].items() if k != name} for t in PARTITIONED}
+        self._commit({"kb_meta": self._written(self.table("kb_meta").filter(F.col("name") != name), "kb_meta"), **rest})
 
     def flush(self) -> None:
-        self._commit({t: self.spark.createDataFrame([], s) for t, s in SCHEMAS.items()})
+        self._commit({"kb_meta": None, **{t: {} for t in PARTITIONED}})
 
     def register(self, kb: str, raw: DataFrame, priority: int) -> None:
         """Upserts documents (filename, source_dir, content) and queues a task for each."""
         self.meta(kb)
         now = self.now()
         new = raw.select(F.lit(kb).alias("kb_name"), "filename", "source_dir", "content")
-        documents = upsert_documents(self.table("document"), new, now)
-        tasks = self.table("task")
+        last = self.table("document").agg(F.coalesce(F.max("document_id"), F.lit(0))).first()[0]
+        documents = upsert_documents(self.kb("document", kb), new, now, last)
+        tasks = self.kb("task", kb)
         touched = documents.join(new.select("kb_name", "filename").distinct(), ["kb_name", "filename"])
-        largest = tasks.agg(F.coalesce(F.max("task_id"), F.lit(0)).alias("_largest"))
+        largest = self.table("task").agg(F.coalesce(F.max("task_id"), F.lit(0)).alias("_largest"))
         added = numbered(touched.select("document_id"), ["document_id"], "_no").join(F.broadcast(largest)).select((F.col("_largest") + F.col("_no")).alias("task_id"), "document_id", F.lit(priority).alias("priority"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error_message"), now.alias("created_at"), now.alias("updated_at"))
-        self._commit({"document": documents, "task": tasks.unionByName(added)})
+        self._changed(kb, {"document": documents, "task": tasks.unionByName(added)})
 
     def update_document(self, kb: str, document_id: int, filename: str, content: str, priority: int = 100) -> None:
         """New content of a document, whose filename must be the same."""
@@ -251,7 +279,7 @@ class Store:
         if row is None:
             raise CatalogError(f"there is no document {document_id} in {kb!r}")
         gone = self.spark.createDataFrame([(document_id,)], "document_id long")
-        self._commit({t: cascade(self.table(t), gone) for t in ("document", "task", "node", "chunk")})
+        self._changed(kb, {t: cascade(self.kb(t, kb), gone) for t in PARTITIONED})
         return row["filename"]
 
     def finish(self, kb: str, documents: DataFrame, nodes: DataFrame, chunks: DataFrame, outcomes: DataFrame) -> None:
@@ -262,14 +290,13 @@ class Store:
         """
         now = self.now()
         told = documents.select("document_id", F.col("frontmatter").alias("_f"))
-        all_ = self.table("document")
+        all_ = self.kb("document", kb)
         kept = all_.join(told, "document_id", "left").select(*[F.coalesce("_f", "frontmatter").alias("frontmatter") if c == "frontmatter" else F.col(c) for c in all_.columns])
-        self._commit({"document": kept, "node": replace_rows(self.table("node"), nodes, documents), "chunk": replace_rows(self.table("chunk"), chunks, documents), "task": transition(self.table("task"), outcomes, now)})
+        self._changed(kb, {"document": kept, "node": replace_rows(self.kb("node", kb), nodes, documents), "chunk": replace_rows(self.kb("chunk", kb), chunks, documents), "task": transition(self.kb("task", kb), outcomes, now)})
 
     def cancel(self, kb: str) -> int:
-        tasks = self.table("task")
-        own = self.kb("document", kb).select("document_id")
-        n = tasks.filter("status = 'running'").join(own, "document_id", "left_semi").count()
+        tasks = self.kb("task", kb)
+        n = tasks.filter("status = 'running'").count()
         if n:
-            self._commit({"task": cancel_running(tasks, self.table("document"), kb, self.now())})
+            self._changed(kb, {"task": cancel_running(tasks, self.kb("document", kb), kb, self.now())})
         return n

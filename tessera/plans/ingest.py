@@ -1,7 +1,8 @@
 """Ingestion: queued documents are parsed, chunked, given markers and vectors, and stored.
 
-One job takes all pending documents of a knowledge base.  A document that fails
-leaves an outcome and keeps what it had; the others are stored in one commit.
+One job takes all pending documents of a knowledge base.  A document that cannot be
+parsed, or for one of whose chunks a service fails, leaves an outcome and keeps what it
+had; the others are stored in one commit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators import chunk as chunking
 from tessera.plans.catalog import CatalogError, Store
 from tessera.sources import documents as sources
-from tessera.sources.providers import ChatProvider, EmbedProvider, dimension, embed_column, marker_column
+from tessera.sources.providers import CONCURRENCY, ChatProvider, EmbedProvider, dimension, embed_outcomes, marker_outcomes
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Pipeline:
     chat: ChatProvider | None = None
     embed_batch: int = 32
     tokenizer_path: str | None = None
+    concurrency: int = CONCURRENCY
 
     def create_kb(self, name: str, how: chunking.Layered | chunking.Fixed, query_mode: str | None = None, retrieval: dict | None = None, embed_config: dict | None = None, llm_config: dict | None = None) -> None:
         """A knowledge base with these settings; its dimension is the provider's."""
@@ -53,7 +55,7 @@ class Pipeline:
             raise CatalogError(f"{kb!r} holds vectors of {meta['dimension']} dimensions and the provider gives {size}")
         spark = self.store.spark
         own = self.store.kb("document", kb)
-        tasks = self.store.table("task").filter("status = 'pending'").select("task_id", "document_id")
+        tasks = self.store.kb("task", kb).filter("status = 'pending'").select("task_id", "document_id")
         todo = own.join(tasks.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "filename", "source_dir", "content")
         at = f"{self.store.root}/staging/{kb}"
         built = self.build(kb, todo)
@@ -74,15 +76,20 @@ class Pipeline:
         chunks = parsed.select("document_id", "source_dir", F.inline("chunks"))
         chunks = sources.with_figures(chunks, self.store.spark)
         lost = chunks.filter(F.size("missing") > 0).groupBy("document_id").agg(F.concat(F.lit("missing figure files: "), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))), ", ")).alias("_lost"))
-        chunks = chunks.withColumn("embedding", embed_column(self.embedder, F.col("embedding_text"), self.embed_batch, meta["dimension"]))
+        chunks = chunks.withColumn("_e", embed_outcomes(self.embedder, F.col("embedding_text"), self.embed_batch, meta["dimension"]))
+        chunks = chunks.withColumn("embedding", F.col("_e.value"))
+        errors = [F.col("_e.error")]
         if self.chat is not None and meta["llm_config"] is not None:
-            chunks = chunks.withColumn("markers", marker_column(self.chat, F.col("text")))
-            chunks = chunks.withColumn("marker_embedding", embed_column(self.embedder, F.concat_ws(" ", "markers"), self.embed_batch, meta["dimension"]))
+            chunks = chunks.withColumn("_m", marker_outcomes(self.chat, F.col("text"), self.concurrency))
+            chunks = chunks.withColumn("markers", F.col("_m.value"))
+            chunks = chunks.withColumn("_me", embed_outcomes(self.embedder, F.when(F.col("markers").isNotNull(), F.concat_ws(" ", "markers")), self.embed_batch, meta["dimension"]))
+            chunks = chunks.withColumn("marker_embedding", F.col("_me.value"))
+            errors += [F.col("_m.error"), F.col("_me.error")]
         else:
             chunks = chunks.withColumn("markers", F.array().cast("array<string>")).withColumn("marker_embedding", F.lit(None).cast("array<float>"))
         row = F.struct("node_id", "chunk_seq", "text", "blocks", "figures", "embedding", "marker_embedding", "markers")
-        rows = chunks.groupBy("document_id").agg(F.collect_list(row).alias("chunks"))  # bounded by the document
+        rows = chunks.groupBy("document_id").agg(F.collect_list(row).alias("chunks"), F.min(F.coalesce(*errors)).alias("_failed"))  # bounded by the document
         out = parsed.select("document_id", "frontmatter", "nodes").join(rows, "document_id", "left").join(lost, "document_id", "left")
-        out = out.select("document_id", "frontmatter", "nodes", F.coalesce("chunks", F.array().cast(rows.schema["chunks"].dataType)).alias("chunks"), F.col("_lost").alias("error"))
+        out = out.select("document_id", "frontmatter", "nodes", F.coalesce("chunks", F.array().cast(rows.schema["chunks"].dataType)).alias("chunks"), F.coalesce("_lost", "_failed").alias("error"))
         wrong = docs.filter("error is not null").select("document_id", "error")
         return out.unionByName(wrong, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import frontmatter, text, tokens
 from tessera.functions.frontmatter import Filter, entry, tags_of, text_of, where
+from tessera.functions.scratch import in_order
 from tessera.functions.vectors import cosine_distance
 from tessera.operators import chunk, evaluate, retrieval
 from tessera.plans import catalog
@@ -34,49 +35,52 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(df: DataFrame, **given) -> DataFrame:
+    """Rows as search takes them: the given columns, and nulls for the rest."""
+    kinds = {"document_id": "long", "filename": "string", "frontmatter": "string", "node_id": "string", "chunk_seq": "int", "heading_path": "array<string>", "sort_order": "int", "text": "string", "figures": f"array<{chunk.FIGURE}>", "markers": "array<string>", "embedding": "array<float>", "marker_embedding": "array<float>"}
+    return df.select(*[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Vectors as the chunks of one section each, whose document has the label in its frontmatter."""
+    vectors = read(spark, sf_dir, "embeddings")
+    key = F.col("vec_id").cast("long")
+    chunks = _rows(vectors, document_id=key, node_id=F.lit("s"), chunk_seq=F.lit(0), embedding=F.col("embedding")).drop("filename", "frontmatter")
+    nodes = vectors.select(key.alias("document_id"), F.lit("s").alias("node_id"), F.array(F.concat(F.lit("vector "), F.col("vec_id").cast("string"))).alias("heading_path"), F.lit(1).alias("sort_order"))
+    documents = vectors.select(key.alias("document_id"), F.concat(F.col("vec_id").cast("string"), F.lit(".md")).alias("filename"), F.to_json(F.struct(F.col("label").cast("string").alias("label"))).alias("frontmatter"))
+    return retrieval.searchable(chunks, nodes, documents)
+
+
+def _asked(spark, sf_dir) -> list[float]:
+    return list(read(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+
+
+def _as(spark, sf_dir, name: str, column: str, key: str = "document_id"):
+    """A result's key as the table's column."""
+    return F.col(key).cast(read(spark, sf_dir, name).schema[column].dataType).alias(column)
+
+
+# --- search and fusion ---
+
+
 @query(
     """SELECT e.vec_id, round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
     ORDER BY distance, e.vec_id LIMIT 5"""
 )
 def vector_topk(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings")
-    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(one)).select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return scored.orderBy("distance", "vec_id").limit(5)
-
+    found = retrieval.vector_search(_chunks(spark, sf_dir), _asked(spark, sf_dir), 5)
+    return found.select(_as(spark, sf_dir, "embeddings", "vec_id"), F.round("distance", 6).alias("distance"))
 
-# --- search and fusion ---
 
 _DIST = "round(list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 
-def _scored(spark, sf_dir, where_: str = "true"):
-    """Vectors with their rounded distance to vector 0."""
-    vectors = read(spark, sf_dir, "embeddings")
-    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return vectors.filter(where_).join(F.broadcast(one)).select("vec_id", "label", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-
-
 @query(f"SELECT e.vec_id, e.label, {_DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY distance, e.vec_id LIMIT 5")
 def vector_topk_filtered(spark, sf_dir):
-    return _scored(spark, sf_dir, "label = 3").orderBy("distance", "vec_id").limit(5)
-
-
-def _batch(spark, sf_dir, asked: str):
-    vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = retrieval.batch_search(vectors, queries, 5, ["vec_id"], digits=6)
-    return found.select("query_id", "vec_id", "distance", F.col("rank").cast("long").alias("rank"))
-
-
-@query(
-    f"""SELECT query_id, vec_id, distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DIST} AS distance,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank
-    FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5"""
-)
-def vector_topk_batch(spark, sf_dir):
-    return _batch(spark, sf_dir, "vec_id < 20")
+    found = retrieval.vector_search(_chunks(spark, sf_dir), _asked(spark, sf_dir), 5, [Filter.parse("label=3")])
+    label = F.get_json_object("frontmatter", "$.label").alias("label")
+    return found.select(_as(spark, sf_dir, "embeddings", "vec_id"), label, F.round("distance", 6).alias("distance")).select("vec_id", _as(spark, sf_dir, "embeddings", "label", "label"), "distance")
 
 
 @query(
@@ -84,9 +88,12 @@ def vector_topk_batch(spark, sf_dir):
     row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank
     FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5"""
 )
-def vector_topk_batch_stated(spark, sf_dir):
+def vector_topk_batch(spark, sf_dir):
     """The stated set of queries, which grows with the table: every row whose id is divisible by 20."""
-    return _batch(spark, sf_dir, "vec_id % 20 = 0")
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.batch_search(vectors, queries, 5, ["vec_id"], digits=6)
+    return found.select("query_id", "vec_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 def _centroids(spark, sf_dir):
@@ -104,9 +111,10 @@ _CENTROIDS = """centroids AS (SELECT label, list(m ORDER BY i) AS centroid FROM
     FROM centroids c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, c.label LIMIT 5"""
 )
 def marker_topk(spark, sf_dir):
-    one = read(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    rows = _centroids(spark, sf_dir).join(F.broadcast(one))
-    return rows.select("label", F.round(cosine_distance(F.col("centroid"), F.col("q")), 6).alias("distance")).orderBy("distance", "label").limit(5)
+    """Class means as the vectors of markers."""
+    rows = _rows(_centroids(spark, sf_dir), document_id=F.col("label"), node_id=F.lit("s"), chunk_seq=F.lit(0), marker_embedding=F.col("centroid"))
+    found = retrieval.marker_search(rows, _asked(spark, sf_dir), 5)
+    return found.select(_as(spark, sf_dir, "embeddings", "label"), F.round("distance", 6).alias("distance"))
 
 
 _LISTS = f"""WITH near AS (SELECT e.vec_id, e.label, {_DIST} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
@@ -117,14 +125,14 @@ _LISTS = f"""WITH near AS (SELECT e.vec_id, e.label, {_DIST} AS distance FROM em
 
 
 def _fused(spark, sf_dir):
-    near = _scored(spark, sf_dir)
-    lists = []
-    for order in (["distance", "vec_id"], [F.abs(F.col("label") - 3), "distance", "vec_id"]):
-        top = near.orderBy(*order).limit(20)
-        shaped = top.select(F.col("vec_id").alias("document_id"), *[F.lit(None).cast("string").alias(c) for c in retrieval.RESULT if c not in ("document_id", "distance", "source")], F.lit(str(len(lists))).alias("source"), "distance", F.row_number().over(Window.orderBy(*order)).alias("rank"))
-        lists.append(shaped)
-    fused = retrieval.fuse(lists[1], lists[0])
-    return fused.select(F.col("document_id").alias("vec_id"), F.round("score", 9).alias("score"), F.when(F.col("source") == "1", 0).otherwise(1).alias("list"))
+    """The nearest vectors, and those of the nearest labels (a label's step counts more than any distance), fused."""
+    rows, asked = _chunks(spark, sf_dir), _asked(spark, sf_dir)
+    near = retrieval.vector_search(rows, asked, 20)
+    steps = F.abs(F.get_json_object("frontmatter", "$.label").cast("int") - 3)
+    every = rows.withColumn("distance", steps * 10 + F.round(cosine_distance(F.col("embedding"), retrieval.query_vector(asked)), 6)).withColumn("source", F.lit("MARKER"))
+    by_label = every.select(*retrieval.RESULT).orderBy("distance", *retrieval.KEY).limit(20)
+    fused = retrieval.fuse(retrieval.ranked(by_label), retrieval.ranked(near))
+    return fused.select(_as(spark, sf_dir, "embeddings", "vec_id"), F.round("score", 9).alias("score"), F.when(F.col("source") == "MARKER", 0).otherwise(1).alias("list"))
 
 
 @query(_LISTS + " SELECT vec_id, score, list FROM fused")
@@ -140,7 +148,16 @@ def rrf_truncated(spark, sf_dir):
 @query(_LISTS + " SELECT f.vec_id, f.score, n.distance FROM fused f JOIN near n USING (vec_id) ORDER BY f.score DESC, f.vec_id LIMIT 5")
 def rrf_hybrid(spark, sf_dir):
     top = _fused(spark, sf_dir).orderBy(F.col("score").desc(), "vec_id").limit(5)
-    return top.join(_scored(spark, sf_dir), "vec_id").select("vec_id", "score", "distance")
+    distance = F.round(cosine_distance(F.col("embedding"), retrieval.query_vector(_asked(spark, sf_dir))), 6).alias("distance")
+    return top.join(read(spark, sf_dir, "embeddings").select("vec_id", distance), "vec_id").select("vec_id", "score", "distance")
+
+
+@query("SELECT vec_id, 'TREE' AS source, 0.0::DOUBLE AS distance FROM embeddings WHERE label = 3")
+def neighbor_chunks(spark, sf_dir):
+    """The chunks of all sections, as neighbors of hits are taken, under a filter."""
+    rows = _chunks(spark, sf_dir)
+    found = retrieval.neighbors(rows, rows.select("document_id", "node_id"), [Filter.parse("label=3")])
+    return found.select(_as(spark, sf_dir, "embeddings", "vec_id"), "source", "distance")
 
 
 # --- frontmatter filters ---
@@ -197,10 +214,14 @@ def frontmatter_extract(spark, sf_dir):
     JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"""
 )
 def join_chunk_node_doc(spark, sf_dir):
+    """Orders as documents (named by their customer) of one section, and their lines as chunks."""
     customers = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate", "c_name", "l_quantity")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    documents = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("document_id"), F.col("c_name").alias("filename"), F.lit("{}").alias("frontmatter"))
+    nodes = orders.select(F.col("o_orderkey").alias("document_id"), F.lit("s").alias("node_id"), F.array().cast("array<string>").alias("heading_path"), F.col("o_orderdate").alias("sort_order"))
+    chunks = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit("s").alias("node_id"), F.col("l_linenumber").alias("chunk_seq"), F.col("l_quantity").alias("text"))
+    found = retrieval.searchable(chunks, nodes, documents)
+    return found.select(F.col("document_id").alias("l_orderkey"), F.col("chunk_seq").alias("l_linenumber"), F.col("sort_order").alias("o_orderdate"), F.col("filename").alias("c_name"), F.col("text").alias("l_quantity"))
 
 
 def _tree(spark, sf_dir):
@@ -254,19 +275,17 @@ def tree_expand(spark, sf_dir):
     return retrieval.expand(_hits(spark, sf_dir), _tree(spark, sf_dir), 2).select("node_id")
 
 
-@query(
-    """SELECT o_orderkey, o_custkey, any_value(source) AS source FROM (SELECT o_orderkey, o_custkey, 'VEC' AS source FROM orders WHERE o_orderkey % 10 = 0
-    UNION ALL SELECT o_orderkey, o_custkey, 'TREE' FROM orders WHERE o_orderkey % 15 = 0 AND o_orderkey % 10 <> 0) GROUP BY ALL"""
-)
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN 'VEC' ELSE 'TREE' END AS source FROM orders")
 def merge_dedupe_order(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    """Orders that are not finished as hits, and all orders as their neighbors."""
+    orders = read(spark, sf_dir, "orders")
 
-    def rows(d, source):
-        null = lambda c: F.lit(None).cast("string").alias(c)
-        return orders.filter(F.col("o_orderkey") % d == 0).select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("sort_order"), F.col("o_orderkey").alias("chunk_seq"), F.lit("x").alias("node_id"), F.lit(source).alias("source"), *[null(c) for c in retrieval.RESULT if c not in ("document_id", "sort_order", "chunk_seq", "node_id", "source")]).select(*retrieval.RESULT)
+    def rows(some, source):
+        made = _rows(some, document_id=F.col("o_custkey"), sort_order=F.col("o_orderkey"), chunk_seq=F.col("o_orderkey"), node_id=F.lit("x"))
+        return made.withColumn("source", F.lit(source)).withColumn("distance", F.lit(0.0)).select(*retrieval.RESULT)
 
-    merged = retrieval.merge(rows(10, "VEC"), rows(15, "TREE"))
-    return merged.select(F.col("chunk_seq").alias("o_orderkey"), F.col("document_id").alias("o_custkey"), "source")
+    merged = retrieval.merge(rows(orders.filter("o_orderstatus <> 'F'"), "VEC"), rows(orders, "TREE"))
+    return merged.select(_as(spark, sf_dir, "orders", "o_orderkey", "chunk_seq"), _as(spark, sf_dir, "orders", "o_custkey"), "source")
 
 
 # --- aggregates, queues and changes ---
@@ -274,8 +293,11 @@ def merge_dedupe_order(spark, sf_dir):
 
 @query("SELECT n_name, count(c_custkey) AS n_customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 def left_count(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("n"))
-    return read(spark, sf_dir, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n_customers"))
+    """Nations as the documents of a knowledge base, and customers as their chunks."""
+    documents = read(spark, sf_dir, "nation").select(F.lit("kb").alias("kb_name"), F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("filename"), F.lit(None).cast("timestamp").alias("updated_at"))
+    chunks = read(spark, sf_dir, "customer").select(F.lit("kb").alias("kb_name"), F.col("c_nationkey").alias("document_id"), F.col("c_custkey").cast("string").alias("node_id"))
+    tasks = spark.createDataFrame([], catalog.SCHEMAS["task"])
+    return catalog.list_documents(documents, chunks, tasks, "kb").select(F.col("filename").alias("n_name"), F.col("n_chunks").alias("n_customers"))
 
 
 @query(
@@ -283,10 +305,13 @@ def left_count(spark, sf_dir):
     FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name"""
 )
 def kb_summary(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("n"))
-    nations = read(spark, sf_dir, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_regionkey").agg(F.count("n_nationkey").alias("n_nations"), F.sum("n").alias("n"))
-    rows = read(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return rows.select("r_name", F.coalesce("n_nations", F.lit(0)).alias("n_nations"), F.coalesce("n", F.lit(0)).alias("n_customers"))
+    """Regions as knowledge bases, nations as their documents, customers as their chunks."""
+    regions = read(spark, sf_dir, "region")
+    meta = regions.select(F.col("r_name").alias("name"), F.lit(None).cast("timestamp").alias("created_at"))
+    documents = read(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("kb_name"), F.col("n_nationkey").alias("document_id"))
+    chunks = read(spark, sf_dir, "customer").join(documents, F.col("c_nationkey") == F.col("document_id")).select("kb_name", "document_id")
+    rows = catalog.list_kbs(meta, documents, chunks)
+    return rows.select(F.col("name").alias("r_name"), F.col("n_documents").alias("n_nations"), F.col("n_chunks").alias("n_customers"))
 
 
 def _as_tasks(spark, sf_dir):
@@ -310,7 +335,10 @@ def latest_by_max(spark, sf_dir):
 
 @query(_TASKS + " SELECT document_id, arg_max(status, (created_at, task_id)) AS status FROM tasks GROUP BY document_id")
 def latest_status(spark, sf_dir):
-    return _as_tasks(spark, sf_dir).groupBy("document_id").agg(F.max_by("status", F.struct("created_at", "task_id")).alias("status"))
+    tasks = _as_tasks(spark, sf_dir)
+    documents = tasks.select(F.lit("kb").alias("kb_name"), "document_id", F.lit("f").alias("filename"), F.lit(None).cast("timestamp").alias("updated_at")).distinct()
+    chunks = spark.createDataFrame([], catalog.SCHEMAS["chunk"])
+    return catalog.list_documents(documents, chunks, tasks, "kb").select("document_id", "status")
 
 
 @query(_TASKS + " SELECT t.document_id, t.task_id FROM tasks t WHERE t.status = 'failed' AND t.task_id = (SELECT max(u.task_id) FROM tasks u WHERE u.document_id = t.document_id) AND t.created_at >= TIMESTAMP '2024-01-10 00:00:00'")
@@ -320,25 +348,28 @@ def failed_since(spark, sf_dir):
     return catalog.failed_tasks(tasks, documents, "kb", F.lit("2024-01-10 00:00:00").cast("timestamp")).select("document_id", "task_id")
 
 
-@query(_TASKS + " SELECT task_id, priority, row_number() OVER (ORDER BY priority DESC, created_at, task_id) AS place FROM tasks WHERE status = 'pending' ORDER BY place LIMIT 50")
+@query(_TASKS + " SELECT task_id, priority, row_number() OVER (ORDER BY priority DESC, created_at, task_id) AS place FROM tasks WHERE status = 'pending'")
 def queue_order(spark, sf_dir):
-    head = catalog.queue(_as_tasks(spark, sf_dir)).limit(50)
-    place = F.row_number().over(Window.orderBy(F.col("priority").desc(), "created_at", "task_id"))
-    return head.select("task_id", "priority", place.cast("long").alias("place"))
+    return in_order(catalog.queue(_as_tasks(spark, sf_dir)).select("task_id", "priority"), "place", 1)
 
 
-@query(_TASKS + " SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'failed') AS failed FROM tasks WHERE document_id % 2 = 0")
-def task_counts(spark, sf_dir):
+def _of_two_kbs(spark, sf_dir):
+    """Tasks, and their documents in two knowledge bases."""
     tasks = _as_tasks(spark, sf_dir)
-    documents = tasks.filter("document_id % 2 = 0").select(F.lit("kb").alias("kb_name"), "document_id").distinct()
-    return catalog.task_counts(tasks, documents, "kb")
+    return tasks, tasks.select(F.concat(F.lit("kb"), F.pmod("document_id", F.lit(2)).cast("string")).alias("kb_name"), "document_id").distinct()
+
+
+@query(_TASKS + " SELECT 'kb' || (document_id % 2) AS kb, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'failed') AS failed FROM tasks GROUP BY 1")
+def task_counts(spark, sf_dir):
+    tasks, documents = _of_two_kbs(spark, sf_dir)
+    one, two = (catalog.task_counts(tasks, documents, kb).withColumn("kb", F.lit(kb)) for kb in ("kb0", "kb1"))
+    return one.unionByName(two)
 
 
 @query(_TASKS + " SELECT task_id, CASE WHEN status = 'running' AND document_id % 2 = 0 THEN 'canceled' ELSE status END AS status FROM tasks")
 def cancel_update(spark, sf_dir):
-    tasks = _as_tasks(spark, sf_dir)
-    documents = tasks.filter("document_id % 2 = 0").select(F.lit("kb").alias("kb_name"), "document_id").distinct()
-    return catalog.cancel_running(tasks, documents, "kb", F.lit(None).cast("timestamp")).select("task_id", "status")
+    tasks, documents = _of_two_kbs(spark, sf_dir)
+    return catalog.cancel_running(tasks, documents, "kb0", F.lit(None).cast("timestamp")).select("task_id", "status")
 
 
 @query(_TASKS + " SELECT task_id, CASE WHEN task_id % 4 = 0 THEN 'success' ELSE status END AS status FROM tasks")
@@ -461,8 +492,8 @@ _COUNTS_SQL = f"""s AS (SELECT doc_id, i, len(regexp_extract_all(x, {_TOKEN_SQL}
 )
 def fixed_pack(spark, sf_dir):
     parts = read(spark, sf_dir, "documents").select("doc_id", chunk.sentence_counts(chunk.sentence_column(F.col("text"))).alias("counts"))
-    rows = parts.select("doc_id", F.explode(F.arrays_zip("counts", chunk.packed(F.col("counts"), 64).alias("chunks"))).alias("x"))
-    return rows.groupBy("doc_id", F.col("x.chunks").alias("chunk")).agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("x.counts").cast("long")).alias("n_tokens"))
+    rows = parts.select("doc_id", F.posexplode(chunk.packed(F.col("counts"), 64)).alias("chunk", "x"))
+    return rows.select("doc_id", "chunk", F.col("x.sentences").cast("long").alias("n_sentences"), F.col("x.tokens").cast("long").alias("n_tokens"))
 
 
 @query(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
 import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tessera.sources.store import read_bytes
+
 #: Names that the document format keeps for itself (fixed values).
 RESERVED = ("index.md", "log.md")
 
@@ -140,20 +144,22 @@ def bad(docs: DataFrame) -> DataFrame:
 def with_figures(chunks: DataFrame, spark: SparkSession, key: str = "document_id") -> DataFrame:
     """Chunks (with ``source_dir``) whose figures hold their file's bytes in base 64; ``missing`` names absent files.
 
-    Figures with an http(s) source are kept without bytes.  Only folders that
-    chunks refer to are read.
+    Figures with an http(s) source are kept without bytes.  Executors read the
+    files, each path once.
     """
     each = chunks.select(key, "node_id", "chunk_seq", "source_dir", F.posexplode("figures").alias("_at", "_figure"))
     local = ~F.col("_figure.src").rlike("^https?://")
     target = F.when(local, F.when(F.col("_figure.src").startswith("/"), F.col("_figure.src")).otherwise(F.concat_ws("/", "source_dir", "_figure.src")))
     each = each.withColumn("_path", target)
-    paths = [r[0] for r in each.select("_path").filter("_path is not null").distinct().collect()]  # names of figure files of the documents being added
-    from tessera.sources.files import existing
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                raw = read_bytes(path)
+                yield pa.RecordBatch.from_pydict({"_file": pa.array([path], pa.string()), "_blob": pa.array([None if raw is None else base64.b64encode(raw).decode()], pa.string())})
 
-    present = existing(spark, paths)
-    files = spark.read.format("binaryFile").load(present).select(F.regexp_replace("path", "^file:/+", "/").alias("_file"), F.base64("content").alias("_blob")) if present else spark.createDataFrame([], "_file string, _blob string")
+    files = each.select("_path").filter("_path is not null").distinct().mapInArrow(fetch, "_file string, _blob string")
     found = each.join(files, F.col("_file") == F.col("_path"), "left")
-    figure = F.struct(F.col("_figure.src").alias("src"), F.col("_figure.caption").alias("caption"), F.col("_figure.description").alias("description"), F.regexp_replace("_blob", "[\r\n]", "").alias("blob"))
+    figure = F.struct(F.col("_figure.src").alias("src"), F.col("_figure.caption").alias("caption"), F.col("_figure.description").alias("description"), F.col("_blob").alias("blob"))
     rows = found.groupBy(key, "node_id", "chunk_seq").agg(F.array_sort(F.collect_list(F.struct("_at", figure.alias("f")))).alias("_list"), F.collect_set(F.when(F.col("_path").isNotNull() & F.col("_blob").isNull(), F.col("_path"))).alias("_missing"))
     out = chunks.join(rows, [key, "node_id", "chunk_seq"], "left")
     return out.select(*[c for c in chunks.columns if c != "figures"], F.coalesce(F.transform("_list", lambda x: x["f"]), F.col("figures")).alias("figures"), F.coalesce("_missing", F.array().cast("array<string>")).alias("missing"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.scratch import in_order
 from tessera.functions.text import slug, yaml_quoted
 
 CORPUS = "title string, author string, source string, category string, url string, body string"
@@ -26,8 +28,10 @@ def exists(spark: SparkSession, at: str) -> bool:
     return bool(store.exists(path))
 
 
-def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    return [p for p in paths if exists(spark, p)]
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern fits, in order."""
+    store, path = _path(spark, pattern)
+    return sorted(str(x.getPath()) for x in store.globStatus(path) or ())
 
 
 def delete(spark: SparkSession, at: str) -> bool:
@@ -41,13 +45,18 @@ def read_text(spark: SparkSession, at: str) -> str:
 
 
 def write_text(spark: SparkSession, at: str, text: str) -> None:
-    """A small file, from the driver: written aside and renamed, so that readers see all of it or none."""
-    store, path = _path(spark, at + ".tmp")
+    """A small file, from the driver: written aside and renamed, so that readers of a new name see all of it or none.
+
+    A file of that name is replaced, which stores without an atomic replacement do
+    in two steps; what must not be missing meanwhile takes a new name each time.
+    """
+    store, path = _path(spark, f"{at}.{uuid.uuid4().hex}.tmp")
     stream = store.create(path, True)
     stream.write(bytearray(text.encode()))
     stream.close()
     _, final = _path(spark, at)
-    store.delete(final, False)
+    if store.exists(final):
+        store.delete(final, False)
     if not store.rename(path, final):
         raise OSError(f"cannot rename to {at}")
 
@@ -75,8 +84,8 @@ def is_complete(spark: SparkSession, at: str, n: int) -> bool:
 
 
 def numbered(df: DataFrame, name: str = "i") -> DataFrame:
-    """Rows numbered from 0 in their present order, by counts of the partitions before."""
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), df.select("*").schema.add(name, "long"))
+    """Rows numbered from 0 in their present order."""
+    return in_order(df, name)
 
 
 def corpus_markdown(corpus: DataFrame, index: str = "i", process: str = "process:corpus-import") -> DataFrame:

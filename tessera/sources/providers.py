@@ -14,6 +14,7 @@ import time
 import urllib.request
 from collections import Counter
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -199,7 +200,39 @@ def embed_column(provider: EmbedProvider, text: Column, batch: int = 32, size: i
     return run(text)
 
 
+def embed_outcomes(provider: EmbedProvider, text: Column, batch: int = 32, size: int | None = None) -> Column:
+    """``value`` (the vector) and ``error`` of each text: of a request that fails, its texts are tried one by one."""
+
+    def asked(texts: list[str]) -> list[list[float]]:
+        got = provider.embed(texts)
+        if len(got) != len(texts) or (size is not None and any(len(v) != size for v in got)):
+            raise ProviderError("the embedding service returned vectors of another number or length")
+        return got
+
+    @pandas_udf("value array<float>, error string")  # type: ignore[call-overload]
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            out: list[tuple] = [(None, None)] * len(texts)
+            at = [i for i, t in enumerate(texts) if t is not None]
+            for k in range(0, len(at), batch):
+                some = at[k : k + batch]
+                try:
+                    for i, v in zip(some, asked([texts.iloc[i] for i in some]), strict=True):
+                        out[i] = (v, None)
+                except Exception:  # noqa: BLE001
+                    for i in some:
+                        try:
+                            out[i] = (asked([texts.iloc[i]])[0], None)
+                        except Exception as e:  # noqa: BLE001
+                            out[i] = (None, f"embedding: {e}")
+            yield pd.DataFrame(out, columns=["value", "error"], dtype=object)
+
+    return run(text)
+
+
 MARKER_PROMPT = 'Name the ideas that a reader would look this passage up by. Answer with JSON: {"markers": ["...", ...]}, three to eight short phrases.'
+#: Requests that a task has under way at once.
+CONCURRENCY = 5
 
 
 def parse_markers(answer: str, key: str = "markers") -> list[str]:
@@ -219,11 +252,20 @@ def parse_markers(answer: str, key: str = "markers") -> list[str]:
     return kept
 
 
-def marker_column(provider: ChatProvider, text: Column) -> Column:
-    @pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([None if t is None else parse_markers(provider.chat_json(MARKER_PROMPT, t)) for t in texts], dtype=object)
+def marker_outcomes(provider: ChatProvider, text: Column, concurrency: int = CONCURRENCY) -> Column:
+    """``value`` (the markers) and ``error`` of each text, with a bounded number of requests under way."""
+
+    def one(text: str | None) -> tuple:
+        try:
+            return (None if text is None else parse_markers(provider.chat_json(MARKER_PROMPT, text)), None)
+        except Exception as e:  # noqa: BLE001
+            return (None, f"markers: {e}")
+
+    @pandas_udf("value array<string>, error string")  # type: ignore[call-overload]
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for texts in parts:
+                yield pd.DataFrame(list(pool.map(one, texts)), columns=["value", "error"], dtype=object)
 
     return run(text)
 

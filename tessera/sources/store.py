@@ -1,4 +1,4 @@
-"""Files written by executors: local paths, and stores that Arrow's file systems know."""
+"""Files written and read by executors: local paths, and stores that Arrow's file systems know."""
 
 from __future__ import annotations
 
@@ -27,3 +27,20 @@ def open_out(uri: str) -> Iterator:
     with store.open_output_stream(made) as f:
         yield f
     store.move(made, path)
+
+
+def read_bytes(uri: str) -> bytes | None:
+    """A whole file, or None if there is none."""
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    try:
+        if uri.startswith("/") or "://" not in uri:
+            with open(uri, "rb") as f:
+                return f.read()
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_stream(path) as f:
+            return f.read()
+    except (FileNotFoundError, IsADirectoryError):
+        return None

@@ -109,3 +109,62 @@ def test_sinks(spark, tmp_path):
     assert files.is_complete(spark, at, 3) and not files.is_complete(spark, at, 4) and not files.is_complete(spark, at + "x", 0)
     files.write_json(spark, str(tmp_path / "m.json"), {"a": 1})
     assert files.read_json(spark, str(tmp_path / "m.json"), "a int").first()["a"] == 1
+
+
+class Refuses(HashEmbedder):
+    def embed(self, texts):
+        if any("refused" in t for t in texts):
+            raise ValueError("not this text")
+        return super().embed(texts)
+
+
+class NoMarkers(KeywordChat):
+    def chat_json(self, system, user):
+        return "not JSON" if "unmarked" in user else super().chat_json(system, user)
+
+
+def test_a_failing_service_fails_its_document_only(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name, body in {"a": "good words", "b": "refused words", "c": "unmarked words", "d": "more good words"}.items():
+        (docs / f"{name}.md").write_text(f"---\ntype: x\n---\n# T\n\n{body}\n\n## S\n\nplain words\n", encoding="utf-8")
+    store = catalog.Store(spark, str(tmp_path / "store"))
+    pipeline = Pipeline(store, Refuses(8), NoMarkers())
+    pipeline.create_kb("k", Layered())
+    pipeline.add_folder("k", str(docs))
+    pipeline.drain("k")
+    rows = catalog.list_documents(store.table("document"), store.table("chunk"), store.table("task"), "k").collect()
+    assert {r["filename"]: (r["n_chunks"], r["status"]) for r in rows} == {"a.md": (2, "success"), "b.md": (0, "failed"), "c.md": (0, "failed"), "d.md": (2, "success")}
+    told = {r["filename"]: r["error_message"] for r in catalog.failed_tasks(store.table("task"), store.table("document"), "k").collect()}
+    assert told["b.md"] == "embedding: not this text" and told["c.md"].startswith("markers: the answer is not JSON")
+
+
+def test_a_change_writes_one_knowledge_base_and_readers_go_on(spark, tmp_path, folder):
+    store = catalog.Store(spark, str(tmp_path / "store"))
+    pipeline = Pipeline(store, HashEmbedder(8))
+    for name in ("one", "two"):
+        pipeline.create_kb(name, Layered())
+        pipeline.add_folder(name, str(folder))
+        pipeline.drain(name)
+    ids = [r["document_id"] for r in store.table("document").collect()]
+    assert len(set(ids)) == len(ids) == 4
+    before, held = dict(store._pointer["chunk"]), store.kb("chunk", "two")
+    n = held.count()
+    pipeline.add_file("two", str(folder / "a.md"))
+    pipeline.drain("two")
+    assert store._pointer["chunk"]["one"] == before["one"] and store._pointer["chunk"]["two"] != before["two"]
+    assert held.count() == n > 0
+    assert len(store._pointers()) == catalog.KEPT
+    other = catalog.Store(spark, str(tmp_path / "store"))
+    assert other._pointer == store._pointer and other.table("task").count() == 5
+    store.flush()
+    other.refresh()
+    assert other.table("chunk").count() == other.table("kb_meta").count() == 0
+
+
+def test_numbering_keeps_the_order(spark):
+    from tessera.functions.scratch import in_order
+
+    rows = spark.range(5000).repartition(7).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("x")).orderBy("x")
+    got = in_order(rows, "place", 1).collect()
+    assert sorted((r["x"], r["place"]) for r in got) == [(i, i + 1) for i in range(5000)]

@@ -75,3 +75,24 @@ def test_documents(spark):
     (chunk,) = rows[1]["chunks"]
     assert [b["block_type"] for b in chunk["blocks"]] == ["paragraph", "figure"] and chunk["figures"][0]["src"] == "x.png"
     assert rows[2]["chunks"] == [] and len(rows[3]["nodes"]) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 20), min_size=1, max_size=25), st.integers(1, 30), st.integers(0, 30))
+def test_sizes_do_not_change_the_packing(counts, limit, overlap):
+    some = pack_blocks(sums(counts), len(counts), limit, min(overlap, limit))
+    assert pack_blocks(sums(counts), len(counts), limit, min(overlap, limit), counts) == some
+    # joining costs a token: sizes tell only about where a chunk ends
+    dear = lambda at: sum(counts[i] for i in at) + max(0, len(at) - 1)
+    assert pack_blocks(dear, len(counts), limit, 0, counts) == pack_blocks(dear, len(counts), limit, 0)
+
+
+def test_few_joined_blocks_are_counted():
+    asked = []
+
+    def counted(some):
+        asked.append(len(some))
+        return 5 * len(some)
+
+    made = pack_blocks(counted, 5000, 100, 10, [5] * 5000)
+    assert made[0] == (0, 0, 20) and len(asked) < 8 * len(made) and sum(asked) < 200 * len(made)

@@ -40,3 +40,26 @@ def test_the_approximate_index_finds_most_of_the_nearest(spark):
         exact = np.argsort(-(vectors @ vectors[q]) / np.linalg.norm(vectors, axis=1))[:10]
         hit += len(near & set(exact.tolist()))
     assert hit >= 45 and retrieval.RRF_K == 60
+
+
+def test_the_approximate_index_on_the_given_vectors(spark):
+    """Recall for the stated queries, every vector whose id is divisible by 20, against the exact search."""
+    import os
+
+    import numpy as np
+    import pytest
+
+    at = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(at):
+        pytest.skip("the test tables are not here")
+    rows = spark.read.parquet(at)
+    index = ann.build(rows)
+    all_ = rows.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    unit = np.stack(all_["embedding"]).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    ids, hit, asked = all_["vec_id"].to_numpy(), 0, 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        near = {r["vec_id"] for r in index.search(unit[q].tolist(), 5, ["vec_id"]).collect()}
+        exact = set(ids[np.argsort(-(unit @ unit[q]), kind="stable")[:5]].tolist())
+        hit, asked = hit + len(near & exact), asked + 5
+    assert hit >= 0.9 * asked

@@ -45,7 +45,7 @@ def test_runs(spark, name):
 
 
 def test_batch_search_takes_the_whole_stated_set(spark, db):
-    got = registry.QUERIES["vector_topk_batch_stated"](spark, DIR)
+    got = registry.QUERIES["vector_topk_batch"](spark, DIR)
     want = {r[0] for r in db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
     assert len(want) > 20 and {r["query_id"] for r in got.collect()} == want
 
