@@ -51,6 +51,8 @@ ANCHOR = 8
 _RUN = 256
 #: Characters of phrases in one automaton at most.
 _AUTOMATON_CHARS = 1_000_000
+#: Most bytes of windows' first places that are broadcast: they grow with the repeats, and one side of a large join is enough.
+_FIRST_BYTES = 8 << 20
 #: Bytes of texts in a shard.
 _SHARD_BYTES = 1 << 21
 
@@ -273,7 +275,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     first = near.groupBy("w").agg(F.min("pos").alias("fpos"), F.max("pos").alias("lpos"), F.min("base").alias("fbase")).filter("fpos < lpos").select("w", "fpos", "fbase")
     first = written(first, "firsts")
     released(spark)
-    later = near.join(sized(first), "w").filter("pos > fpos").select("base", "pos", "fbase", "fpos")
+    later = near.join(sized(first, _FIRST_BYTES), "w").filter("pos > fpos").select("base", "pos", "fbase", "fpos")
     again = _repeats(rows)
     later = later.distinct() if again else later
     runs = written(_runs(later), "runs")
