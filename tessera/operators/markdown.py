@@ -1,10 +1,11 @@
 """Markdown to a section tree.
 
 A block parser (headings, fences, tables, lists, quotes, HTML, paragraphs) and an
-inline scanner (code, math, links, images, emphasis, breaks, entities) for the
-part of CommonMark that documents use.  Text keeps what a reader sees: emphasis
-marks, link targets and code fences go; math keeps its delimiters; an image gives
-its alternative text, or is a figure where it stands alone.
+inline scanner (code, math, links and images with targets in place or defined elsewhere,
+emphasis, breaks, entities) for the part of CommonMark that documents use.  Text
+keeps what a reader sees: emphasis marks, link targets, definitions and code fences
+go; math keeps its delimiters; an image gives its alternative text, or is a figure
+where it stands alone.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ _HTML = re.compile(r" {0,3}<(?:!--|[?!]|/?(?:address|article|aside|blockquote|bo
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|<[?!][^<>]*>", re.S)
 _AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[^\s<>@]+@[^\s<>@]+)>")
 _TARGET = re.compile(r"""\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)))?\s*\)""")
+_DEFINITION = re.compile(r""" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|([^\s<]\S*))(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\)))?[ \t]*(?:\n|$)""")
 _ESCAPE = re.compile(r"""\\([!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~])""")
 
 
@@ -83,8 +85,33 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
-def inline(text: str, figures: bool = True) -> Inline:
+#: A link's or an image's target, and its title.
+Target = tuple[str, str | None]
+
+
+def _label(raw: str) -> str:
+    """References and definitions fit whatever their case and spaces."""
+    return " ".join(raw.split()).casefold()
+
+
+def _target(text: str, opened: int, close: int, defined: dict[str, Target]) -> tuple[Target, int] | None:
+    """Where the brackets from ``opened`` to ``close`` point, in place or by a definition, and where that ends."""
+    here = _TARGET.match(text, close + 1)
+    if here:
+        title = next((_plain(t) for t in here.groups()[2:] if t), None)
+        return (_plain(here.group(1) or here.group(2) or ""), title), here.end()
+    label, end = text[opened + 1 : close], close + 1
+    if text.startswith("[", end):
+        last = _closing(text, end)
+        if last > 0:
+            label, end = text[end + 1 : last] or label, last + 1
+    found = defined.get(_label(label))
+    return None if found is None else (found, end)
+
+
+def inline(text: str, figures: bool = True, defined: dict[str, Target] | None = None) -> Inline:
     """Reads inline markup.  Images hold back their text until something follows."""
+    defined = defined or {}
     out = Inline()
     parts: list[str] = []
     pending: list[str] = []
@@ -157,29 +184,29 @@ def inline(text: str, figures: bool = True) -> Inline:
             continue
         if c == "!" and text.startswith("![", i):
             close = _closing(text, i + 1)
-            target = _TARGET.match(text, close + 1) if close > 0 else None
-            if target:
+            found = _target(text, i + 1, close, defined) if close > 0 else None
+            if found:
                 emit_plain()
                 flush("image")
-                alt = inline(text[i + 2 : close], False).text
-                title = next((_plain(t) for t in target.groups()[2:] if t), None)
-                out.images.append((_plain(target.group(1) or target.group(2) or ""), alt, title))
+                alt = inline(text[i + 2 : close], False, defined).text
+                (src, title), end = found
+                out.images.append((src, alt, title))
                 if has_prose("".join(parts)) or not figures:
                     out.prose = True
                     parts.append(alt)
                 else:
                     pending.append(alt)
-                i = target.end()
+                i = end
                 continue
         if c == "[":
             close = _closing(text, i)
-            target = _TARGET.match(text, close + 1) if close > 0 else None
-            if target:
+            found = _target(text, i, close, defined) if close > 0 else None
+            if found:
                 emit_plain()
-                inner = inline(text[i + 1 : close], figures)
+                inner = inline(text[i + 1 : close], figures, defined)
                 out.images += inner.images
                 add(inner.text)
-                i = target.end()
+                i = found[1]
                 continue
         if c == "<":
             link = _AUTOLINK.match(text, i)
@@ -265,15 +292,26 @@ def render_table(rows: list[list[str]]) -> str:
 class _Blocks:
     """Turns lines into nodes below the present heading."""
 
-    def __init__(self) -> None:
+    def __init__(self, defined: dict[str, Target]) -> None:
         self.root = Node("root")
         self.path = [self.root]
+        self.defined = defined
+        self.found: dict[str, Target] = {}
+
+    def without_definitions(self, lines: list[str]) -> str:
+        """A paragraph's text after the link definitions that it begins with, which are noted (the first of a label counts)."""
+        text, at = "\n".join(lines), 0
+        while (m := _DEFINITION.match(text, at)) and m.group(1).strip():
+            title = next((_plain(t) for t in m.groups()[3:] if t), None)
+            self.found.setdefault(_label(m.group(1)), (_plain(m.group(2) or m.group(3) or ""), title))
+            at = m.end()
+        return text[at:]
 
     def heading(self, level: int, raw: str) -> None:
         raw = _ATTRIBUTES.sub("", raw) if _ATTRIBUTES.search(raw) else raw
         while len(self.path) > 1 and self.path[-1].level >= level:
             self.path.pop()
-        node = Node("heading", inline(raw.strip(), False).text, level)
+        node = Node("heading", inline(raw.strip(), False, self.defined).text, level)
         self.path[-1].children.append(node)
         self.path.append(node)
 
@@ -281,7 +319,10 @@ class _Blocks:
         self.path[-1].children.append(node)
 
     def paragraph(self, lines: list[str], item: bool = False) -> None:
-        got = inline("\n".join(x.lstrip() for x in lines).rstrip())
+        rest = self.without_definitions(lines)
+        if not rest.strip():
+            return
+        got = inline("\n".join(x.lstrip() for x in rest.split("\n")).rstrip(), defined=self.defined)
         if not item and got.displays == 1 and not got.prose and not got.images:
             self.add(Node("math_block", got.text))
         elif len(got.images) == 1 and not has_prose(got.text):
@@ -336,8 +377,12 @@ class _Blocks:
                 continue
             setext = _SETEXT.match(line)
             if held and setext:
-                title = "\n".join(held)
+                title = self.without_definitions(held)
                 held.clear()
+                if not title.strip():  # nothing but definitions: the line underlines nothing
+                    held.append(line)
+                    i += 1
+                    continue
                 self.heading(1 if "=" in setext.group(1) else 2, title)
                 i += 1
                 continue
@@ -351,7 +396,7 @@ class _Blocks:
                 while i < len(lines) and lines[i].strip() and not _ATX.match(lines[i]) and not _FENCE.match(lines[i]):
                     rows.append(_cells(lines[i]))
                     i += 1
-                self.add(Node("table", render_table([[inline(c, False).text.strip() for c in row] for row in rows])))
+                self.add(Node("table", render_table([[inline(c, False, self.defined).text.strip() for c in row] for row in rows])))
                 continue
             quote = _QUOTE.match(line)
             if quote:
@@ -399,8 +444,12 @@ class _Blocks:
 
 def parse(body: str) -> Node:
     """The tree of a document's body."""
-    blocks = _Blocks()
-    blocks.read(body.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
+    lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    blocks = _Blocks({})
+    blocks.read(lines)
+    if blocks.found:  # definitions may stand below what refers to them
+        blocks = _Blocks(blocks.found)
+        blocks.read(lines)
     return blocks.root
 
 

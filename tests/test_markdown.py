@@ -77,3 +77,19 @@ def test_full_text_and_drawing():
     root = parse("# A\n\ntext\n\n![c](x.png \"d\")")
     assert full_text(root) == "A\n\ntext\n\nc\n\nd"
     assert tree_text(root).splitlines()[1] == "└── h1: A"
+
+
+def test_targets_defined_elsewhere():
+    body = "See [the log][Log Book], [map][] and [map], not [tide][none] or [none].\n\n[log  book]: <a b.md>\n[MAP]: m.svg 'North'\n[map]: other.svg"
+    assert only(body) == [("paragraph", "See the log, map and map, not [tide][none] or [none].")]
+    assert figure("[map]: m.svg\n  (North up)\n\n![Chart *one*][map]") == ("figure", "m.svg", "Chart one", "North up")
+    assert only("# On [x]\n\n| [x] | b |\n| - | - |\n| ![y][x] | 2 |\n\n> [x]: u\n> left") == [("heading", "On x")]
+    assert [c.text for c in parse("# On [x]\n\n| [x] | b |\n| - | - |\n| ![y][x] | 2 |\n\n> [x]: u\n> left").children[0].children] == ["| x | b |\n| --- | --- |\n| y | 2 |", "left"]
+
+
+def test_what_is_no_definition():
+    assert only("text\n[a]: b") == [("paragraph", "text [a]: b")]
+    assert only("[a]: b c") == [("paragraph", "[a]: b c")]
+    assert only("[ ]: b") == [("paragraph", "[ ]: b")]
+    assert only("[a]: b\n===\nrest [a]") == [("paragraph", "=== rest a")]
+    assert only("[a]: b 'open\n\n[a]") == [("paragraph", "[a]: b 'open"), ("paragraph", "[a]")]
