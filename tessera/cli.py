@@ -106,6 +106,8 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
         failed = failed_tasks(store.table("task"), store.table("document"), args.name, began).collect()
         for r in failed:
             out(f"failed: {r['filename']}: {r['error_message']}")
+        if pipeline.usage.calls:
+            out(f"used: {pipeline.usage}")
         return int(bool(failed))
     elif args.command == "doc" and args.action == "update":
         path = Path(args.path)
@@ -132,6 +134,9 @@ def main() -> int:
     except (CatalogError, configs.ConfigError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    except KeyboardInterrupt:
+        print("interrupted; what was under way is canceled", file=sys.stderr)
+        return 130
 
 
 if __name__ == "__main__":

@@ -294,7 +294,26 @@ class Store:
         kept = all_.join(told, "document_id", "left").select(*[F.coalesce("_f", "frontmatter").alias("frontmatter") if c == "frontmatter" else F.col(c) for c in all_.columns])
         self._changed(kb, {"document": kept, "node": replace_rows(self.kb("node", kb), nodes, documents), "chunk": replace_rows(self.kb("chunk", kb), chunks, documents), "task": transition(self.kb("task", kb), outcomes, now)})
 
+    def _moved(self, kb: str, before: tuple[str, ...], after: str) -> int:
+        """Tasks of some states take another; how many there were."""
+        tasks = self.kb("task", kb)
+        hit = F.col("status").isin(*before)
+        n = tasks.filter(hit).count()
+        if n:
+            outcomes = tasks.filter(hit).select("task_id", F.lit(after).alias("status"), F.lit(None).cast("string").alias("error_message"))
+            self._changed(kb, {"task": transition(tasks, outcomes, self.now())})
+        return n
+
+    def start(self, kb: str) -> int:
+        """All waiting tasks run.  A store has one writer, so a task that is found running was left by one that died, and runs again."""
+        return self._moved(kb, ("pending", "running"), "running")
+
+    def put_back(self, kb: str) -> int:
+        """Running tasks wait again."""
+        return self._moved(kb, ("running",), "pending")
+
     def cancel(self, kb: str) -> int:
+        """Running tasks are canceled; their documents keep what they had."""
         tasks = self.kb("task", kb)
         n = tasks.filter("status = 'running'").count()
         if n:

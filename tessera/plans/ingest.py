@@ -2,21 +2,23 @@
 
 One job takes all pending documents of a knowledge base.  A document that cannot be
 parsed, or for one of whose chunks a service fails, leaves an outcome and keeps what it
-had; the others are stored in one commit.
+had; the others are stored in one commit.  An interrupt cancels the tasks under way; after
+any other failure of the job they wait again.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import chunk as chunking
 from tessera.plans.catalog import CatalogError, Store
 from tessera.sources import documents as sources
-from tessera.sources.providers import CONCURRENCY, ChatProvider, EmbedProvider, dimension, embed_outcomes, marker_outcomes
+from tessera.sources.providers import CONCURRENCY, ChatProvider, EmbedProvider, Usage, dimension, embed_outcomes, marker_outcomes, usage_counter
 
 
 @dataclass
@@ -27,6 +29,8 @@ class Pipeline:
     embed_batch: int = 32
     tokenizer_path: str | None = None
     concurrency: int = CONCURRENCY
+    #: What the services reported for documents ingested so far, with attempts that Spark repeated.
+    usage: Usage = field(default_factory=Usage)
 
     def create_kb(self, name: str, how: chunking.Layered | chunking.Fixed, query_mode: str | None = None, retrieval: dict | None = None, embed_config: dict | None = None, llm_config: dict | None = None) -> None:
         """A knowledge base with these settings; its dimension is the provider's."""
@@ -53,13 +57,30 @@ class Pipeline:
         size = dimension(self.embedder)
         if size != meta["dimension"]:
             raise CatalogError(f"{kb!r} holds vectors of {meta['dimension']} dimensions and the provider gives {size}")
+        if not self.store.start(kb):
+            return
+        try:
+            self._ingest(kb)
+        except KeyboardInterrupt:  # Spark's own handler has stopped its jobs by now
+            self.store.cancel(kb)
+            raise
+        except Exception:
+            self.store.put_back(kb)
+            raise
+
+    def _ingest(self, kb: str) -> None:
+        """Builds and stores the documents of running tasks."""
         spark = self.store.spark
         own = self.store.kb("document", kb)
-        tasks = self.store.kb("task", kb).filter("status = 'pending'").select("task_id", "document_id")
+        tasks = self.store.kb("task", kb).filter("status = 'running'").select("task_id", "document_id")
         todo = own.join(tasks.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "filename", "source_dir", "content")
         at = f"{self.store.root}/staging/{kb}"
-        built = self.build(kb, todo)
-        built.write.mode("overwrite").parquet(at)
+        counter = usage_counter(spark)
+        built = self.build(kb, todo, counter)
+        try:
+            built.write.mode("overwrite").parquet(at)
+        finally:
+            self.usage.take(counter.value)
         built = spark.read.parquet(at)
         ok = built.filter("error is null")
         with_kb = lambda df: df.withColumn("kb_name", F.lit(kb))
@@ -68,7 +89,7 @@ class Pipeline:
         chunks = with_kb(ok.select("document_id", F.inline("chunks")))
         self.store.finish(kb, ok.select("document_id", "frontmatter"), nodes, chunks, outcomes)
 
-    def build(self, kb: str, raw: DataFrame) -> DataFrame:
+    def build(self, kb: str, raw: DataFrame, counter: Accumulator | None = None) -> DataFrame:
         """``document_id``, frontmatter, nodes, embedded chunks and an error, a row for each document."""
         meta = self.store.meta(kb)
         docs = sources.parsed(raw)
@@ -76,13 +97,13 @@ class Pipeline:
         chunks = parsed.select("document_id", "source_dir", F.inline("chunks"))
         chunks = sources.with_figures(chunks, self.store.spark)
         lost = chunks.filter(F.size("missing") > 0).groupBy("document_id").agg(F.concat(F.lit("missing figure files: "), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))), ", ")).alias("_lost"))
-        chunks = chunks.withColumn("_e", embed_outcomes(self.embedder, F.col("embedding_text"), self.embed_batch, meta["dimension"]))
+        chunks = chunks.withColumn("_e", embed_outcomes(self.embedder, F.col("embedding_text"), self.embed_batch, meta["dimension"], counter))
         chunks = chunks.withColumn("embedding", F.col("_e.value"))
         errors = [F.col("_e.error")]
         if self.chat is not None and meta["llm_config"] is not None:
-            chunks = chunks.withColumn("_m", marker_outcomes(self.chat, F.col("text"), self.concurrency))
+            chunks = chunks.withColumn("_m", marker_outcomes(self.chat, F.col("text"), self.concurrency, counter))
             chunks = chunks.withColumn("markers", F.col("_m.value"))
-            chunks = chunks.withColumn("_me", embed_outcomes(self.embedder, F.when(F.col("markers").isNotNull(), F.concat_ws(" ", "markers")), self.embed_batch, meta["dimension"]))
+            chunks = chunks.withColumn("_me", embed_outcomes(self.embedder, F.when(F.col("markers").isNotNull(), F.concat_ws(" ", "markers")), self.embed_batch, meta["dimension"], counter))
             chunks = chunks.withColumn("marker_embedding", F.col("_me.value"))
             errors += [F.col("_m.error"), F.col("_me.error")]
         else:

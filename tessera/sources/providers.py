@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import threading
 import time
 import urllib.request
 from collections import Counter
@@ -21,7 +22,8 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.accumulators import Accumulator, AccumulatorParam
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.pandas.functions import pandas_udf
 
 
@@ -53,6 +55,10 @@ def with_retry(call: Callable, retries: int, delay_ms: int, sleep: Callable[[flo
     raise AssertionError
 
 
+#: Requests of one task run in several threads.
+_COUNTING = threading.Lock()
+
+
 @dataclass
 class Usage:
     """Tokens that a service reports; missing fields count as 0."""
@@ -65,16 +71,40 @@ class Usage:
 
     def add(self, usage: dict | None) -> None:
         usage = usage or {}
-        self.prompt += usage.get("prompt_tokens") or 0
-        self.completion += usage.get("completion_tokens") or 0
-        self.reasoning += (usage.get("completion_tokens_details") or {}).get("reasoning_tokens") or 0
-        self.total += usage.get("total_tokens") or 0
-        self.calls += 1
+        self.take((usage.get("prompt_tokens") or 0, usage.get("completion_tokens") or 0, (usage.get("completion_tokens_details") or {}).get("reasoning_tokens") or 0, usage.get("total_tokens") or 0, 1))
+
+    def counts(self) -> tuple[int, ...]:
+        return self.prompt, self.completion, self.reasoning, self.total, self.calls
+
+    def take(self, more: tuple[int, ...]) -> None:
+        with _COUNTING:
+            self.prompt, self.completion, self.reasoning, self.total, self.calls = (a + b for a, b in zip(self.counts(), more, strict=True))
 
     def __str__(self) -> str:
         return f"{self.calls} calls, {self.total} tokens (prompt {self.prompt}, completion {self.completion}, reasoning {self.reasoning})"
 
 
+class _Sums(AccumulatorParam):
+    def zero(self, value: tuple) -> tuple:
+        return (0,) * len(value)
+
+    def addInPlace(self, value1: tuple, value2: tuple) -> tuple:  # noqa: N802, N803
+        return tuple(a + b for a, b in zip(value1, value2, strict=True))
+
+
+def usage_counter(spark: SparkSession) -> Accumulator:
+    """Adds up on the driver what executors' clients used."""
+    return spark.sparkContext.accumulator(Usage().counts(), _Sums())
+
+
+def _told(provider: object, counter: Accumulator | None, before: tuple[int, ...]) -> tuple[int, ...]:
+    """Adds what the provider used since ``before``; its counts now."""
+    now = getattr(provider, "usage", Usage()).counts()
+    if counter is not None and now != before:
+        counter.add(tuple(a - b for a, b in zip(now, before, strict=True)))
+    return now
+
+
 # --- without a network ---
 
 
@@ -200,7 +230,7 @@ def embed_column(provider: EmbedProvider, text: Column, batch: int = 32, size: i
     return run(text)
 
 
-def embed_outcomes(provider: EmbedProvider, text: Column, batch: int = 32, size: int | None = None) -> Column:
+def embed_outcomes(provider: EmbedProvider, text: Column, batch: int = 32, size: int | None = None, counter: Accumulator | None = None) -> Column:
     """``value`` (the vector) and ``error`` of each text: of a request that fails, its texts are tried one by one."""
 
     def asked(texts: list[str]) -> list[list[float]]:
@@ -211,6 +241,7 @@ def embed_outcomes(provider: EmbedProvider, text: Column, batch: int = 32, size:
 
     @pandas_udf("value array<float>, error string")  # type: ignore[call-overload]
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        before = _told(provider, None, ())
         for texts in parts:
             out: list[tuple] = [(None, None)] * len(texts)
             at = [i for i, t in enumerate(texts) if t is not None]
@@ -225,6 +256,7 @@ def embed_outcomes(provider: EmbedProvider, text: Column, batch: int = 32, size:
                             out[i] = (asked([texts.iloc[i]])[0], None)
                         except Exception as e:  # noqa: BLE001
                             out[i] = (None, f"embedding: {e}")
+            before = _told(provider, counter, before)
             yield pd.DataFrame(out, columns=["value", "error"], dtype=object)
 
     return run(text)
@@ -252,7 +284,7 @@ def parse_markers(answer: str, key: str = "markers") -> list[str]:
     return kept
 
 
-def marker_outcomes(provider: ChatProvider, text: Column, concurrency: int = CONCURRENCY) -> Column:
+def marker_outcomes(provider: ChatProvider, text: Column, concurrency: int = CONCURRENCY, counter: Accumulator | None = None) -> Column:
     """``value`` (the markers) and ``error`` of each text, with a bounded number of requests under way."""
 
     def one(text: str | None) -> tuple:
@@ -263,9 +295,12 @@ def marker_outcomes(provider: ChatProvider, text: Column, concurrency: int = CON
 
     @pandas_udf("value array<string>, error string")  # type: ignore[call-overload]
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        before = _told(provider, None, ())
         with ThreadPoolExecutor(max(1, concurrency)) as pool:
             for texts in parts:
-                yield pd.DataFrame(list(pool.map(one, texts)), columns=["value", "error"], dtype=object)
+                got = list(pool.map(one, texts))
+                before = _told(provider, counter, before)
+                yield pd.DataFrame(got, columns=["value", "error"], dtype=object)
 
     return run(text)
 

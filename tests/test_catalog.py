@@ -1,3 +1,5 @@
+from dataclasses import dataclass, field
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from tessera.operators.chunk import Fixed, Layered
 from tessera.plans import catalog, search
 from tessera.plans.ingest import Pipeline
 from tessera.sources import files
-from tessera.sources.providers import HashEmbedder, KeywordChat, OverlapReranker
+from tessera.sources.providers import HashEmbedder, KeywordChat, OverlapReranker, Usage
 from tessera.streaming.ingest import watch
 
 DOC = "---\ntype: chapter\nbook: ddia\n---\n# Intro\n\nReplication keeps copies.\n\n![Fig](f.png)\n\n## Leaders\n\nThe leader takes writes.\n\n## Followers\n\nFollowers read logs.\n"
@@ -168,3 +170,47 @@ def test_numbering_keeps_the_order(spark):
     rows = spark.range(5000).repartition(7).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("x")).orderBy("x")
     got = in_order(rows, "place", 1).collect()
     assert sorted((r["x"], r["place"]) for r in got) == [(i, i + 1) for i in range(5000)]
+
+
+@dataclass
+class CountedChat(KeywordChat):
+    usage: Usage = field(default_factory=Usage)
+
+    def chat_json(self, system, user):
+        self.usage.add({"prompt_tokens": 3, "completion_tokens": 2, "total_tokens": 5})
+        return super().chat_json(system, user)
+
+
+def statuses(store):
+    return sorted(r["status"] for r in store.table("task").collect())
+
+
+def test_interrupts_cancel_and_failures_put_back(spark, tmp_path, folder, monkeypatch):
+    store = catalog.Store(spark, str(tmp_path / "store"))
+    pipeline = Pipeline(store, HashEmbedder(), CountedChat())
+    pipeline.create_kb("k", Layered())
+    pipeline.drain("k")  # nothing waits
+    pipeline.add_folder("k", str(folder))
+
+    def broken(error):
+        def build(*_):
+            assert statuses(store) == ["running"] * 2
+            raise error
+
+        return build
+
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "build", broken(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            pipeline.drain("k")
+        assert statuses(store) == ["pending"] * 2
+        m.setattr(pipeline, "build", broken(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            pipeline.drain("k")
+    assert statuses(store) == ["canceled"] * 2 and store.table("chunk").isEmpty() and pipeline.usage.calls == 0
+    pipeline.add_folder("k", str(folder))
+    store.start("k")  # by a writer that died
+    pipeline.drain("k")
+    assert statuses(store) == ["canceled", "canceled", "failed", "success"]  # one has no frontmatter
+    n = store.table("chunk").count()
+    assert n > 0 and pipeline.usage.counts() == (3 * n, 2 * n, 0, 5 * n, n)
