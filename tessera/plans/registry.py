@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from tessera.functions.scratch import in_order
 from tessera.functions.vectors import cosine_distance
 from tessera.operators import chunk, evaluate, retrieval
 from tessera.plans import catalog
-from tessera.sources import files
+from tessera.sources import documents, files, providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -544,6 +545,209 @@ def fixed_chunks(spark, sf_dir):
     return made.select("document_id", F.inline("chunks")).select("document_id", "chunk_seq", "tokens", F.md5("text").alias("digest"))
 
 
+# --- documents whose rows SQL can tell: the markdown is made from columns ---
+
+
+def _catalogue(spark, sf_dir) -> DataFrame:
+    """A document for each part, with every kind of block, like titles, a defined link and references."""
+    body = """# {p_brand}
+
+*{p_name}* of [{p_type}](t.md).
+
+## Sizes
+
+- size {p_size}
+- of `{p_name}`
+
+| key | size |
+| - | - |
+| {p_partkey} | {p_size} |
+
+![{p_name}](f/{p_partkey}.png "{p_type}")
+
+## Sizes
+
+> As [above][a].
+
+[A]: above.md
+
+# References
+
+## Inner
+
+- none
+"""
+    parts = re.split(r"\{(\w+)\}", body)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)]).alias("body"))
+
+
+def _id_sql(*parts: str) -> str:
+    return f"substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 16)"
+
+
+_SECTIONS = f"""WITH one AS (SELECT *, {_id_sql("''", "''", "'0'", "'0'")} AS root FROM part),
+    two AS (SELECT *, {_id_sql("root", "p_brand", "'1'", "'0'")} AS top FROM one),
+    three AS (SELECT *, {_id_sql("top", "'Sizes'", "'2'", "'0'")} AS a, {_id_sql("top", "'Sizes'", "'2'", "'1'")} AS b FROM two)"""
+
+
+@query(
+    _SECTIONS
+    + """ SELECT p_partkey AS document_id, root AS node_id, NULL AS parent_id, '' AS path, 0 AS level, 0 AS sort_order FROM three
+    UNION ALL SELECT p_partkey, top, root, p_brand, 1, 1 FROM three
+    UNION ALL SELECT p_partkey, a, top, p_brand || '/Sizes', 2, 2 FROM three
+    UNION ALL SELECT p_partkey, b, top, p_brand || '/Sizes', 2, 3 FROM three"""
+)
+def section_tree(spark, sf_dir):
+    made = chunk.chunk_documents(_catalogue(spark, sf_dir), chunk.Layered())
+    return chunk.node_rows(made).select("document_id", "node_id", "parent_id", F.array_join("heading_path", "/").alias("path"), "level", "sort_order")
+
+
+@query(
+    _SECTIONS
+    + f""", texts AS (SELECT p_partkey AS document_id, top AS node_id, p_brand AS path, p_name || ' of ' || p_type || '.' AS text, 'paragraph' AS kinds, '' AS figures FROM three
+    UNION ALL SELECT p_partkey, a, p_brand || ' > Sizes', concat_ws(chr(10) || chr(10), 'size ' || p_size, 'of ' || p_name, concat_ws(chr(10), '| key | size |', '| --- | --- |', '| ' || p_partkey || ' | ' || p_size || ' |'), p_name, p_type),
+        'paragraph,paragraph,table,figure', 'f/' || p_partkey || '.png' FROM three
+    UNION ALL SELECT p_partkey, b, p_brand || ' > Sizes', 'As above.', 'paragraph', '' FROM three)
+    SELECT document_id, node_id, 0 AS chunk_seq, text, path || chr(10) || chr(10) || text AS embedding_text, kinds, figures, len(regexp_extract_all(text, '[\\p{{L}}]+|[\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]+'))::INTEGER AS tokens FROM texts"""
+)
+def section_chunks(spark, sf_dir):
+    made = chunk.chunk_documents(_catalogue(spark, sf_dir), chunk.Layered())
+    kinds, figures = F.array_join(F.col("blocks.block_type"), ","), F.array_join(F.col("figures.src"), ",")
+    return chunk.chunk_rows(made).select("document_id", "node_id", "chunk_seq", "text", "embedding_text", kinds.alias("kinds"), figures.alias("figures"), "tokens")
+
+
+@query("SELECT p_partkey AS document_id, 'References' AS pruned FROM part")
+def pruned_sections(spark, sf_dir):
+    made = chunk.chunk_documents(_catalogue(spark, sf_dir), chunk.Layered())
+    return made.select("document_id", F.array_join("pruned", "|").alias("pruned"))
+
+
+def _orders(spark, sf_dir, words, sep: str, end: str) -> DataFrame:
+    """A document for each order: a stretch of words for each line."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    text = F.concat(F.lit("line "), F.col("n").cast("string"), F.expr(f"repeat(' word', {words})"), F.lit(end))
+    held = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("n", "q", text.alias("text")))).alias("x"))
+    return held.select("document_id", F.array_join("x.text", sep).alias("body"))
+
+
+def _prefixes_sql(words: str, more: int, end: str) -> str:
+    """Orders' lines with the tokens before each: ``p[k + 1]`` are those of the first ``k``."""
+    return f"""b AS (SELECT l_orderkey AS d, l_linenumber AS n, l_quantity::INTEGER AS q FROM lineitem),
+    c AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY n, q) AS r, {more} + {words} AS t, 'line ' || n || repeat(' word', {words}) || '{end}' AS x FROM b),
+    l AS (SELECT d, list_prepend(0, list(s ORDER BY r)) AS p, list(x ORDER BY r) AS xs, count(*)::INTEGER AS n FROM (SELECT d, r, x, sum(t) OVER (PARTITION BY d ORDER BY r)::INTEGER AS s FROM c) GROUP BY d)"""
+
+
+_SOME_LONG = "CASE WHEN q % 5 = 0 THEN 30 ELSE q % 9 END"
+
+
+@query(
+    f"""WITH RECURSIVE {_prefixes_sql(_SOME_LONG, 2, "")},
+    k AS (SELECT d, 0 AS seq, 0 AS a, greatest(1, coalesce(list_max(list_filter(range(1, n + 1), lambda x: p[x + 1] <= 24)), 1))::INTEGER AS e FROM l
+    UNION ALL SELECT d, seq + 1, a, greatest(m + 1, coalesce(list_max(list_filter(range(m + 1, n + 1), lambda x: p[x + 1] - p[a + 1] <= 24)), m + 1))::INTEGER
+    FROM (SELECT d, seq, n, p, m, (CASE WHEN f < m AND p[m + 2] - p[f + 1] > 24 THEN m ELSE f END)::INTEGER AS a
+    FROM (SELECT k.d, k.seq, l.n, l.p, k.e AS m, list_min(list_filter(range(k.a, k.e + 1), lambda j: l.p[k.e + 1] - l.p[j + 1] <= 9)) AS f FROM k JOIN l USING (d) WHERE k.e < l.n)))
+    SELECT d AS document_id, seq AS chunk_seq, a AS first_block, e - a AS n_blocks, p[e + 1] - p[a + 1] AS tokens, p[e + 1] - p[a + 1] > 24 AS oversized FROM k JOIN l USING (d)"""
+)
+def packed_blocks(spark, sf_dir):
+    """Paragraphs of 2 to 32 tokens in chunks of 24, which begin with at most 9 tokens of the chunk before."""
+    made = chunk.chunk_documents(_orders(spark, sf_dir, _SOME_LONG, "\n\n", ""), chunk.Layered(24, 0.4))
+    return chunk.chunk_rows(made).select("document_id", "chunk_seq", F.col("blocks")[0]["block_index"].alias("first_block"), F.size("blocks").alias("n_blocks"), "tokens", "oversized")
+
+
+@query(
+    f"""WITH RECURSIVE {_prefixes_sql("q % 9", 3, ".")},
+    k AS (SELECT d, 0 AS seq, 0 AS a, list_max(list_filter(range(1, n + 1), lambda x: p[x + 1] <= 24))::INTEGER AS e FROM l
+    UNION ALL SELECT d, seq + 1, a, list_max(list_filter(range(a + 1, n + 1), lambda x: p[x + 1] - p[a + 1] <= 24))::INTEGER
+    FROM (SELECT k.d, k.seq, l.n, l.p, greatest(k.a + 1, list_min(list_filter(range(k.a, k.e), lambda j: l.p[k.e + 1] - l.p[j + 1] <= 8 OR j = k.e - 1)))::INTEGER AS a FROM k JOIN l USING (d) WHERE k.e < l.n))
+    SELECT d AS document_id, seq AS chunk_seq, p[e + 1] - p[a + 1] AS tokens, array_to_string(xs[a + 1:e], ' ') || CASE WHEN e < n THEN ' ' ELSE '' END AS text FROM k JOIN l USING (d)"""
+)
+def fixed_texts(spark, sf_dir):
+    """Sentences of 3 to 11 tokens in chunks of 24, which begin with about 8 tokens of the chunk before."""
+    made = chunk.chunk_documents(_orders(spark, sf_dir, "q % 9", " ", "."), chunk.Fixed(24, 8))
+    return chunk.chunk_rows(made).select("document_id", "chunk_seq", "tokens", "text")
+
+
+@query(
+    """SELECT f AS filename, CASE WHEN k = 0 THEN 'Body ' || s_suppkey END AS body, CASE WHEN k = 0 THEN s_name END AS name, CASE WHEN k = 0 THEN s_nationkey::VARCHAR END AS nation,
+    CASE WHEN k = 0 THEN '["a","n' || s_nationkey || '"]' END AS tags,
+    CASE k WHEN 1 THEN f || ': the document has no frontmatter' WHEN 2 THEN f || ': the frontmatter is missing the required ''type'' field' WHEN 3 THEN f || ': invalid frontmatter yaml' END AS error
+    FROM (SELECT *, s_suppkey % 4 AS k, s_suppkey || '.md' AS f FROM supplier)"""
+)
+def parsed_documents(spark, sf_dir):
+    """Documents with frontmatter, without, without its type, and with YAML that cannot be read."""
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    good = F.concat(F.lit('---\ntype: supplier\nname: "'), F.col("s_name"), F.lit('"\nnation: '), nation, F.lit("\ntags: [a, n"), nation, F.lit("]\n---\nBody "), key)
+    k = F.pmod("s_suppkey", F.lit(4))
+    content = F.when(k == 0, good).when(k == 1, F.concat(F.lit("Body "), key)).when(k == 2, "---\nname: x\n---\nBody").otherwise("---\ntype: [open\n---\nBody")
+    rows = documents.parsed(read(spark, sf_dir, "supplier").select(F.concat(key, F.lit(".md")).alias("filename"), content.alias("content")))
+    of = lambda name: F.get_json_object("frontmatter", f"$.{name}").alias(name)
+    return rows.select("filename", "body", of("name"), of("nation"), of("tags"), F.substring_index("error", ":", 2).alias("error"))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),
+    n AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM n)
+    SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(r.w, ' ' ORDER BY r.r), 'text') END AS markers, NULL::VARCHAR AS error
+    FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.r <= 5 GROUP BY d.doc_id"""
+)
+def keyword_markers(spark, sf_dir):
+    """Markers of whole texts by the provider that needs no service, as they are joined before they are embedded."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", providers.marker_outcomes(providers.KeywordChat(), F.col("text")).alias("m"))
+    return rows.select("doc_id", F.array_join("m.value", " ").alias("markers"), "m.error")
+
+
+@query(
+    r"""SELECT * FROM (SELECT n_nationkey, round(len(list_distinct(regexp_extract_all(lower(n_name || ' of region ' || n_regionkey), '[\p{L}\p{N}_]+')
+        .list_filter(lambda w: list_contains(['region', '1', 'with', 'of', '3'], w)))) / 5.0::DOUBLE, 6) AS relevance FROM nation) ORDER BY relevance DESC, n_nationkey LIMIT 10"""
+)
+def rerank_overlap(spark, sf_dir):
+    """The ten most relevant of a list of candidates by the share of the question's words that they have."""
+    nations = read(spark, sf_dir, "nation")
+    text = F.concat("n_name", F.lit(" of region "), F.col("n_regionkey").cast("string"))
+    rows = _rows(nations.orderBy("n_nationkey"), document_id=F.col("n_nationkey"), text=text).withColumns({"distance": F.lit(0.0), "source": F.lit("VECTOR")})
+    found = retrieval.rerank(spark, providers.OverlapReranker(), "Region 1 with, of 3", rows, 10)
+    return found.select(_as(spark, sf_dir, "nation", "n_nationkey"), F.round("relevance", 6).alias("relevance"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || '.v1' WHEN 2 THEN '.' || p_type ELSE '' END AS stem FROM part"""
+)
+def stem_of(spark, sf_dir):
+    """Names with an ending, with two, hidden ones and an empty one."""
+    k = F.pmod("p_partkey", F.lit(4))
+    name = F.when(k == 0, F.concat("p_name", F.lit(".md"))).when(k == 1, F.concat("p_name", F.lit(".v1.md"))).when(k == 2, F.concat(F.lit("."), F.col("p_type"))).otherwise("")
+    return read(spark, sf_dir, "part").select("p_partkey", text.stem_of(name).alias("stem"))
+
+
+@query("SELECT p_partkey, lower(trim(t)) IN ('references', 'bibliography', '参考文献', '参考资料') AS listed FROM (SELECT p_partkey, ['References', ' BIBLIOGRAPHY ', '参考文献', '参考资料', 'Reference', 'My references', p_name][(p_partkey % 7 + 1)::INTEGER] AS t FROM part)")
+def reference_title(spark, sf_dir):
+    titles = F.array(*[F.lit(t) for t in ("References", " BIBLIOGRAPHY ", "参考文献", "参考资料", "Reference", "My references")], F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.is_reference_title(F.get(titles, F.pmod("p_partkey", F.lit(7)).cast("int"))).alias("listed"))
+
+
+@query("SELECT p_partkey, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.0f KB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS size FROM (SELECT p_partkey, 2 * p_partkey * p_partkey * 37 + 2 * p_size + 1 AS n FROM part)")
+def format_bytes(spark, sf_dir):
+    n = F.col("p_partkey") * F.col("p_partkey") * 74 + F.col("p_size") * 2 + 1
+    return read(spark, sf_dir, "part").select("p_partkey", text.format_bytes(n).alias("size"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE ' (generated: ' || o_orderpriority || ')' END END AS date FROM orders")
+def result_date(spark, sf_dir):
+    """Orders as documents made at a time, by whom it is known or not, and ones that do not tell."""
+    k = F.pmod("o_orderkey", F.lit(3))
+    made = F.struct(F.when(k > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("at"), F.when(k == 2, F.col("o_orderpriority")).alias("by"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", frontmatter.result_date(F.to_json(F.struct(made.alias("generated")))).alias("date"))
+
+
+@query("SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) AS place FROM (SELECT DISTINCT o_custkey FROM orders)")
+def numbered_keys(spark, sf_dir):
+    """Numbers without gaps; which key has which one is the store's choice, so keys and numbers are paired in order."""
+    keys = read(spark, sf_dir, "orders").select("o_custkey").distinct()
+    places = in_order(catalog.numbered(keys, ["o_custkey"], "place").select("place").orderBy("place"), "at", 1)
+    return in_order(keys.orderBy("o_custkey"), "at", 1).join(places, "at").select("o_custkey", "place")
+
+
 # --- evaluation ---
 
 
