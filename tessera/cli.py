@@ -1,4 +1,4 @@
-"""Command line: ``kb create|list|info|delete``, ``doc add|update|remove|list``, ``query`` and ``flush-db``.
+"""Command line: ``kb create|list|info|delete|index``, ``doc add|update|remove|list``, ``query`` and ``flush-db``.
 
 Without configured services the deterministic local ones are used.
 """
@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--store")
     commands = top.add_subparsers(dest="command", required=True)
     kb = commands.add_parser("kb").add_subparsers(dest="action", required=True)
-    for name in ("create", "delete", "info"):
+    for name in ("create", "delete", "info", "index"):
         kb.add_parser(name).add_argument("name")
     kb.choices["create"].add_argument("--mode", choices=search.MODES)
     kb.add_parser("list")
@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("--reranker", nargs="?", const="")
     ask.add_argument("--expand", action="store_true", default=None)
     ask.add_argument("--expand-depth", type=int)
+    ask.add_argument("--approximate", action="store_true")
     ask.add_argument("-l", "--filter", action="append", type=Filter.parse, default=[])
     commands.add_parser("flush-db")
     return top
@@ -82,6 +83,8 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
     elif args.command == "kb" and args.action == "create":
         retrieval = {"top_k": config.retrieval.top_k, "expand": config.retrieval.expand, "expand_depth": config.retrieval.expand_depth}
         pipeline.create_kb(args.name, config.chunk, args.mode or config.query_mode, retrieval)
+    elif args.command == "kb" and args.action == "index":
+        store.create_index(args.name)
     elif args.command == "kb" and args.action == "delete":
         store.delete_kb(args.name)
     elif args.command == "kb" and args.action == "list":
@@ -120,7 +123,7 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
         for r in list_documents(store.table("document"), store.table("chunk"), store.table("task"), args.name).collect():
             out(f"{r['document_id']}  {r['filename']}  {r['n_chunks']} chunks  {r['status']}  {r['updated_at']}")
     else:
-        found = search.query(store, pipeline.embedder, args.name, args.text, args.mode, args.top_k, args.filter, args.expand, args.expand_depth, _reranker(config, args.reranker))
+        found = search.query(store, pipeline.embedder, args.name, args.text, args.mode, args.top_k, args.filter, args.expand, args.expand_depth, _reranker(config, args.reranker), args.approximate, config.index.ef_search)
         for r in search.rendered(found).collect():
             out(r["result"])
     return 0

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import ann
 from tessera.operators.chunk import BLOCK, FIGURE
 from tessera.sources import files
 
@@ -35,6 +36,8 @@ SCHEMAS = {
 PARTITIONED = ("document", "task", "node", "chunk")
 #: Pointers whose versions are kept.
 KEPT = 3
+#: An index stands beside the chunks that it is of, so that it never answers for others.
+INDEX = "-index"
 STATUSES = ("pending", "running", "success", "failed", "canceled")
 #: A name is a folder's name and stays short.
 _NAME = re.compile(r"[A-Za-z0-9_]{1,60}")
@@ -219,8 +222,26 @@ class Store:
         for pointer in old[:-KEPT]:
             for at in self._named(json.loads(files.read_text(self.spark, pointer))) - kept:
                 files.delete(self.spark, at)
+                files.delete(self.spark, at + INDEX)
             files.delete(self.spark, pointer)
 
+    def create_index(self, kb: str) -> None:
+        """Indexes the vectors, and the markers' where there are some, of a knowledge base's present chunks."""
+        self.meta(kb)
+        at = self._pointer["chunk"].get(kb)
+        if at is None:
+            return
+        for column in ("embedding", "marker_embedding"):
+            ann.build(self.kb("chunk", kb), ["document_id", "node_id", "chunk_seq"], column, f"{at}{INDEX}/{column}")
+
+    def index(self, kb: str, column: str) -> ann.Index | None:
+        """The index of the present chunks; none if it was not made."""
+        at = self._pointer["chunk"].get(kb)
+        if at is None or not files.listed(self.spark, f"{at}{INDEX}/{column}/cells/_SUCCESS"):
+            return None
+        found = ann.load(self.spark, f"{at}{INDEX}/{column}", column)
+        return found if len(found.cells) else None
+
     @staticmethod
     def now():
         """The time, taken once on the driver."""

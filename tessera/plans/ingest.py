@@ -84,10 +84,13 @@ class Pipeline:
         built = spark.read.parquet(at)
         ok = built.filter("error is null")
         with_kb = lambda df: df.withColumn("kb_name", F.lit(kb))
+        indexed = self.store.index(kb, "embedding") is not None
         outcomes = tasks.join(built.select("document_id", "error"), "document_id").select("task_id", F.when(F.col("error").isNull(), "success").otherwise("failed").alias("status"), F.col("error").alias("error_message"))
         nodes = with_kb(ok.select("document_id", F.inline("nodes")))
         chunks = with_kb(ok.select("document_id", F.inline("chunks")))
         self.store.finish(kb, ok.select("document_id", "frontmatter"), nodes, chunks, outcomes)
+        if indexed:
+            self.store.create_index(kb)
 
     def build(self, kb: str, raw: DataFrame, counter: Accumulator | None = None) -> DataFrame:
         """``document_id``, frontmatter, nodes, embedded chunks and an error, a row for each document."""

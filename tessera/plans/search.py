@@ -9,26 +9,41 @@ from pyspark.sql import functions as F
 
 from tessera.functions.frontmatter import Filter, result_date, result_title, result_url
 from tessera.functions.text import base64_byte_len, format_bytes
-from tessera.operators import retrieval
+from tessera.operators import ann, retrieval
 from tessera.plans.catalog import CatalogError, Store
 from tessera.sources.providers import EmbedProvider, RerankProvider
 
 MODES = ("vector", "marker", "hybrid")
 
 
-def candidates(rows: DataFrame, mode: str, vector: list[float], limit: int, filters: list[Filter]) -> DataFrame:
-    """Result rows of one or both channels; hybrid results are fused and not cut."""
+def candidates(rows: DataFrame, mode: str, vector: list[float], limit: int, filters: list[Filter], indexes: dict[str, ann.Index] | None = None, least: int = 0) -> DataFrame:
+    """Result rows of one or both channels; hybrid results are fused and not cut.
+
+    A channel with an index searches ``least`` rows or more of it.  With filters the
+    search is exact, as what an index finds may not fit them.
+    """
+
+    def held(column: str) -> DataFrame:
+        index = (indexes or {}).get(column)
+        if index is None or filters:
+            return rows
+        found = index.search(vector, limit, retrieval.KEY, least=least).select(*retrieval.KEY)  # ``limit`` rows
+        return rows.join(F.broadcast(found), retrieval.KEY, "left_semi")
+
     if mode == "vector":
-        return retrieval.vector_search(rows, vector, limit, filters)
+        return retrieval.vector_search(held("embedding"), vector, limit, filters)
     if mode == "marker":
-        return retrieval.marker_search(rows, vector, limit, filters)
-    marker = retrieval.ranked(retrieval.marker_search(rows, vector, limit, filters))
-    near = retrieval.ranked(retrieval.vector_search(rows, vector, limit, filters))
+        return retrieval.marker_search(held("marker_embedding"), vector, limit, filters)
+    marker = retrieval.ranked(retrieval.marker_search(held("marker_embedding"), vector, limit, filters))
+    near = retrieval.ranked(retrieval.vector_search(held("embedding"), vector, limit, filters))
     return retrieval.fuse(marker, near)
 
 
-def query(store: Store, embedder: EmbedProvider, kb: str, text: str, mode: str | None = None, top_k: int | None = None, filters: list[Filter] = (), expand: bool | None = None, expand_depth: int | None = None, reranker: RerankProvider | None = None) -> DataFrame:
-    """Result rows for a text.  What is not given is as the knowledge base was created, else 5 results, depth 2."""
+def query(store: Store, embedder: EmbedProvider, kb: str, text: str, mode: str | None = None, top_k: int | None = None, filters: list[Filter] = (), expand: bool | None = None, expand_depth: int | None = None, reranker: RerankProvider | None = None, approximate: bool = False, least: int = 0) -> DataFrame:
+    """Result rows for a text.  What is not given is as the knowledge base was created, else 5 results, depth 2.
+
+    ``approximate`` takes the indexes that the knowledge base has.
+    """
     meta = store.meta(kb)
     config = json.loads(meta["retrieval_config"] or "{}")
     mode = mode or meta["query_mode"]
@@ -47,7 +62,8 @@ def query(store: Store, embedder: EmbedProvider, kb: str, text: str, mode: str |
     nodes = store.kb("node", kb)
     rows = retrieval.searchable(store.kb("chunk", kb), nodes, store.kb("document", kb))
     limit = top_k * retrieval.OVERFETCH if reranker else top_k
-    found = candidates(rows, mode, vector, limit, list(filters))
+    indexes = {c: x for c in ("embedding", "marker_embedding") if (x := store.index(kb, c)) is not None} if approximate else {}
+    found = candidates(rows, mode, vector, limit, list(filters), indexes, least)
     if expand:
         sections = retrieval.expand(found.select("document_id", "node_id"), nodes, depth)
         found = retrieval.merge(found, retrieval.neighbors(rows, sections, list(filters)))

@@ -214,3 +214,24 @@ def test_interrupts_cancel_and_failures_put_back(spark, tmp_path, folder, monkey
     assert statuses(store) == ["canceled", "canceled", "failed", "success"]  # one has no frontmatter
     n = store.table("chunk").count()
     assert n > 0 and pipeline.usage.counts() == (3 * n, 2 * n, 0, 5 * n, n)
+
+
+def test_search_by_index(spark, tmp_path, folder):
+    store = catalog.Store(spark, str(tmp_path / "store"))
+    pipeline = Pipeline(store, HashEmbedder(), KeywordChat())
+    pipeline.create_kb("k", Layered())
+    store.create_index("k")  # of nothing
+    assert store.index("k", "embedding") is None
+    pipeline.add_folder("k", str(folder))
+    pipeline.drain("k")
+    store.create_index("k")
+    assert store.index("k", "embedding").counts.sum() == store.index("k", "marker_embedding").counts.sum() == store.table("chunk").count()
+    for mode in search.MODES:
+        exact, near = ([tuple(r) for r in search.query(store, pipeline.embedder, "k", "leader writes", mode, 2, approximate=a).collect()] for a in (False, True))
+        assert near == exact and exact
+    pipeline.add_folder("k", str(folder))
+    pipeline.drain("k")  # an index that was there is made again
+    assert store.index("k", "embedding") is not None
+    store.remove_document("k", 1)
+    assert store.index("k", "embedding") is None
+    assert search.query(store, pipeline.embedder, "k", "leader", "vector", 2, approximate=True).count() == 0
