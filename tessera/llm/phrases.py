@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm._base import quoted, released, row_columns, row_of, scoped, sized, table, with_position, written
+from tessera.llm._base import quoted, released, row_columns, scoped, sized, table, with_position, written
 from tessera.llm._words import Words, slices, text_bytes
 
 WINDOW = 20
@@ -73,18 +73,19 @@ def _words_of(column: pa.Array) -> Iterator[tuple[int, Words]]:
 
 def described(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """``columns`` with ``_n`` (words) and the fingerprints ``_x``, ``_y`` of the text."""
-    kept = docs.select(*columns, F.col(text).alias("_text"))
+    kept = docs.select(*columns) if text in columns else docs.select(*columns, F.col(text).alias("_text"))
+    at = columns.index(text) if text in columns else len(columns)
     schema = docs.select(*columns).schema.add("_n", "long").add("_x", "long").add("_y", "long")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, w in _words_of(batch.column(batch.num_columns - 1)):
+            for _, w in _words_of(batch.column(at)):
                 fx, fy = sequence_prints(w)
                 n.append(w.count.astype(np.int64))
                 x.append(fx)
                 y.append(fy)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.concatenate(c)) for c in (n, x, y)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *[pa.array(np.concatenate(c)) for c in (n, x, y)]], names=schema.names)
 
     return kept.mapInArrow(describe, schema)
 
@@ -323,8 +324,10 @@ def remove(docs: DataFrame, told: DataFrame, key: str = "doc_id", text: str = "t
     """
     if counts and set(counts) & set(docs.columns):
         raise ValueError(f"the table has a column named like one of {counts}: give other names, or none")
-    rows = docs.select(row_of(docs).alias("_row"), F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body"))
-    full = described(rows, "_body", ["_row", "_key", "_body"]).join(sized(told), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
+    others = F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns if c != text])
+    rows = docs.select(others.alias("_row"), F.col(quoted(key)).alias("_key"), F.col(quoted(text)).alias("_body"))
+    # written, so that no task runs two Python workers at once
+    full = written(described(rows, "_body", ["_row", "_key", "_body"]), "texts").join(sized(told), (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy")), "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("_n").alias("b")))
     copy = F.col("_cx").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_first"))
     full = full.select("_row", "_body", F.when(copy, whole).otherwise(F.col("_spans")).alias("_out"))
