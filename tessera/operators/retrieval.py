@@ -6,11 +6,16 @@ are broken by the row's key, so that results are the same in every run.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions.frontmatter import Filter, where
 from tessera.functions.vectors import cosine_distance
+from tessera.operators.nearest import nearest
 from tessera.sources.providers import RerankProvider, reranked
 
 KEY = ["document_id", "node_id", "chunk_seq"]
@@ -19,8 +24,10 @@ RESULT = ["document_id", "filename", "frontmatter", "node_id", "chunk_seq", "hea
 RRF_K = 60
 #: Candidates per result that a reranker is given.
 OVERFETCH = 4
-#: Most queries of a batch that are broadcast at once.
-QUERY_BLOCK = 1000
+#: Queries of a batch that meet a part of the rows at once.
+QUERY_BLOCK = 16_384
+#: Components of the vectors on either side of a tile.
+TILE_VALUES = 1 << 21
 
 
 def searchable(chunks: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -56,18 +63,40 @@ def marker_search(rows: DataFrame, vector: list[float], k: int, filters: list[Fi
 def batch_search(rows: DataFrame, queries: DataFrame, k: int, key: list[str], column: str = "embedding", digits: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of every query (``query_id``, ``vector``), with ``rank`` from 1.
 
-    The queries are a stated set against all rows; more than ``block`` of them are
-    not broadcast but dealt into blocks of about that size, each a task's against
-    a part of the rows.  Every task keeps the ``k`` nearest of its rows for each
-    query, so that no query's distances to all rows are sorted in one place.
-    Distances are rounded to ``digits``, if given, before they are compared.
+    The queries are a stated set against all rows.  Queries are dealt into blocks of
+    about ``block`` and rows into parts; each block meets each part in a tile, which
+    keeps the ``k`` nearest of its rows for each query (``operators/nearest.py``), so
+    that no query's distances to all rows are sorted in one place.  Distances are
+    rounded to ``digits``, if given, before they are compared; equal ones go by the
+    key, and rows without a distance come last.
     """
-    asked = queries.select("query_id", "vector")
-    blocks = -(-asked.count() // block)
-    pairs = rows.join(F.broadcast(asked)) if blocks <= 1 else rows.crossJoin(asked.repartition(blocks, "query_id").hint("shuffle_replicate_nl"))
-    distance = cosine_distance(F.col(column), F.col("vector"))
-    scored = pairs.select("query_id", *key, (distance if digits is None else F.round(distance, digits)).alias("distance"))
-    return top_by_group(scored, ["query_id"], ["distance", *key], k)
+    spark = rows.sparkSession
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(column)), F.lit(1))).first()
+    asked, size = queries.count(), max(1, size)
+    blocks = max(1, -(-asked // block), -(-asked * size // TILE_VALUES))
+    parts = max(1, -(-n * size // TILE_VALUES), min(spark.sparkContext.defaultParallelism, n // 1000))
+
+    def dealt(side: DataFrame, by: Column, own: str, among: int, other: str, of: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(other)
+        return side.select("*", F.pmod(by, F.lit(among)).cast("int").alias(own), every).repartition(2 * blocks * parts, "_block", "_part").groupBy("_block", "_part")
+
+    left = dealt(queries.select("query_id", F.col("vector").alias("_v")), F.xxhash64("query_id", "_v"), "_block", blocks, "_part", parts)
+    right = dealt(rows.select(*key, F.col(column).alias("_v")), F.xxhash64(*key, "_v"), "_part", parts, "_block", blocks)
+
+    schema = StructType([queries.schema["query_id"], *[rows.schema[c] for c in key]]).add("distance", "double")
+    none = to_arrow_schema(schema).empty_table()
+
+    def tile(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(asked) or not len(known):
+            return none
+        known = known.take(pc.sort_indices(known.select(key), [(c, "ascending") for c in key], null_placement="at_end"))
+        i, j, distance = nearest(asked.column("_v"), known.column("_v"), k, digits)
+        near = [known.column(c).take(pa.array(j)) for c in key]
+        return pa.table([asked.column("query_id").take(pa.array(i)), *near, distance], names=["query_id", *key, "distance"])
+
+    found = left.cogroup(right).applyInArrow(tile, schema)
+    order = [F.col(c).asc_nulls_last() for c in ("distance", *key)]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def top_by_group(rows: DataFrame, group: list[str], order: list[str], k: int, spread: int = 64) -> DataFrame:

@@ -77,3 +77,47 @@ def test_sampling(spark):
     assert sample.collect() == evaluate.stratified_sample(queries, 20).collect()
     with pytest.raises(ValueError, match="eligible"):
         evaluate.stratified_sample(queries, 61)
+
+
+def asked_and_known(spark, tmp_path):
+    """Vectors of few directions (so that distances tie), copies, and some that are null, zero or not finite."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(1500)]
+    rows += [(i, [0.5, 0.25, 1.0, 0.125]) for i in range(1500, 2600)] + [(2600, None), (2601, [0.0] * 4), (2620, [0.0] * 4), (2640, None), (2641, [float("nan"), 1.0, 1.0, 1.0]), (2660, [float("inf"), 1.0, 1.0, 1.0])]
+    rng.shuffle(rows)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(path)
+    vectors = spark.read.parquet(path)
+    return path, vectors, vectors.filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+
+
+@pytest.mark.parametrize("block", [retrieval.QUERY_BLOCK, 40])
+def test_batch_search_of_ties_copies_and_odd_vectors_is_as_sql(spark, tmp_path, block):
+    import duckdb
+
+    from tessera.plans import registry
+
+    path, vectors, queries = asked_and_known(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    plain = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    want = con.execute(registry.ORACLE_SQL["vector_topk_batch"]).fetchall()
+    got = retrieval.batch_search(vectors, queries, 5, ["vec_id"], digits=6, block=block)
+    assert plain(got.select("query_id", "vec_id", "distance", "rank").collect()) == plain(want)
+
+
+def test_batch_search_makes_no_row_for_each_pair(spark, tmp_path):
+    _, vectors, queries = asked_and_known(spark, tmp_path)
+    plan = retrieval.batch_search(vectors, queries, 5, ["vec_id"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_batch_search_of_less_than_k_and_nothing(spark):
+    rows = spark.createDataFrame([(3, [1.0, 0.0]), (1, None), (2, [1.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>")
+    got = retrieval.batch_search(rows, queries, 5, ["vec_id"]).orderBy("rank").collect()
+    assert [(r["vec_id"], str(r["distance"])) for r in got] == [(3, "0.0"), (4, "nan"), (1, "None"), (2, "None")]
+    assert retrieval.batch_search(rows.limit(0), queries, 5, ["vec_id"]).collect() == []
+    assert retrieval.batch_search(rows, queries.limit(0), 5, ["vec_id"]).collect() == []
