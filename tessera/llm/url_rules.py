@@ -8,8 +8,10 @@ whose confidence is no less than chance explains.  Rules are kept in an inverted
 that a page is compared only with rules whose index token it has.
 
 What FP-growth gets is bounded: tokens that the same labelled pages have are one item,
-and a page gives it its ``MINED_TOKENS`` most common items.  Supports and confidences
-are then counted on whole token sets, and pages are judged by all their tokens.
+and a page gives it its ``MINED_TOKENS`` most common items.  If a bad page has more, the
+combinations that this may miss are found level by level over all items of all pages
+(``wider``), so no rule is lost.  Supports and confidences are then counted on whole
+token sets, and pages are judged by all their tokens.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and
 path, no tokens and is allowed; labels with nulls count as not bad; several
@@ -48,7 +50,7 @@ MIN_BAD = 20
 MIN_LIFT = 2.0
 #: And exceed it by this many standard deviations of chance.
 DEVIATIONS = 4.0
-#: Items that a page gives to the mining at most.
+#: Items that a page gives to FP-growth at most; combinations beyond them are found by ``wider``.
 MINED_TOKENS = 12
 
 
@@ -98,6 +100,43 @@ def _contained(pages: DataFrame, sets: DataFrame) -> DataFrame:
     return pages.withColumn("index_token", F.explode("_tokens")).join(sized(sets), "index_token").filter(F.size(F.array_except("rule_tokens", "_tokens")) == 0)
 
 
+def wider(rows: DataFrame, least_bad: int, good: Column, deviations: float) -> DataFrame:
+    """``rule_tokens`` (sorted) of all combinations that may be rules that last, whatever the number of a page's items.
+
+    ``rows`` has ``_id``, ``_bad`` and all ``items`` (sorted) of the labelled pages; ``good`` says of ``b`` bad ones
+    among ``pages`` whether a combination is a rule.  A combination of which a part has the same pages is left out, with
+    all that contain it: the part has the same confidence, so they are spare.  So are those with a rule of confidence c
+    among their parts that have too few bad pages b to be told from it even if all their pages are bad:
+    b (1 - c) < deviations ** 2 c.  A level extends the last one's combinations by items behind their last.
+    """
+    levels: list[DataFrame] = []
+    at = written(rows.select("_id", "_bad", F.array().cast("array<string>").alias("set"), "items"), "level")
+    while True:
+        more = at.select("_id", "_bad", "set", F.posexplode("items").alias("_p", "t"), F.col("items").alias("_of"))
+        longer = more.select("_id", "_bad", F.concat("set", F.array("t")).alias("set"), F.expr("slice(_of, _p + 2, size(_of))").alias("items"))
+        counted = longer.groupBy("set").agg(F.count(F.lit(1)).alias("pages"), F.sum("_bad").alias("b")).filter(F.col("b") >= least_bad)
+        if levels:
+            # every part with one item less is there, and has more pages
+            counted = written(counted, "counted")
+            part = F.explode(F.transform("set", lambda x: F.array_except("set", F.array(x)))).alias("_part")
+            known = levels[-1].filter("goes_on").select(F.col("set").alias("_known"), F.col("pages").alias("_pages"))
+            whole = counted.select("set", "pages", part).join(sized(known), F.col("_part") == F.col("_known")).filter("_pages > pages")
+            free = written(whole.groupBy(F.col("set").alias("_free")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = size(_free)").select("_free"), "free")
+            counted = counted.join(sized(free), F.col("set") == F.col("_free"), "left_semi")
+        c = F.col("b") / F.col("pages")
+        ends = good & ((F.col("b") == F.col("pages")) | (F.col("b") * (1 - c) < deviations**2 * c * (1 - 1e-9)))
+        level = written(counted.withColumn("goes_on", ~ends), "sets")
+        levels.append(level)
+        on = written(level.filter("goes_on").select(F.col("set").alias("_set")), "on")
+        if on.isEmpty():
+            break
+        at = written(longer.filter("size(items) > 0").join(sized(on), F.col("set") == F.col("_set"), "left_semi"), "level")
+    found = levels[0].select("set")
+    for level in levels[1:]:
+        found = found.unionByName(level.select("set"))
+    return found.select(F.col("set").alias("rule_tokens"))
+
+
 def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_lift: float = MIN_LIFT, deviations: float = DEVIATIONS, min_confidence: float | None = None) -> DataFrame:
     """Rules (rule_tokens, index_token, confidence, pages) from rows of ``tokens`` and boolean ``bad``.
 
@@ -116,18 +155,24 @@ def mine(labelled: DataFrame, min_bad: int = MIN_BAD, min_lift: float = MIN_LIFT
     seen = each.groupBy("t").agg(F.count(F.lit(1)).alias("f"), F.sum("_bad").alias("b"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("_id", F.lit("other"))).alias("y"))
     items = written(seen.filter(F.col("b") >= min_bad).groupBy("f", "x", "y").agg(F.min("t").alias("t")).select("t", "f"), "items")
     common = each.filter("_bad = 1").join(sized(items), "t")
-    baskets = written(common.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("f", "t")), asc=False), 1, MINED_TOKENS)["t"].alias("items")), "baskets")
-    if baskets.isEmpty():
+    whole = common.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("f", "t")), asc=False)["t"].alias("_items"))
+    baskets = written(whole.select(F.slice("_items", 1, MINED_TOKENS).alias("items"), (F.size("_items") > MINED_TOKENS).alias("_more")), "baskets")
+    n_baskets, more = baskets.agg(F.count(F.lit(1)), F.max("_more")).first()
+    if not n_baskets:
         return none
+    least = min_confidence if min_confidence is not None else min(min_lift * base, (1 + base) / 2)
+    chance = F.sqrt(F.col("pages") * base * (1 - base))
+    good = (F.col("b") >= min_bad) & (F.col("b") >= least * F.col("pages")) & (F.col("b") - F.col("pages") * base >= deviations * chance)
     # of the sets that bad pages have often enough; a little is left to the rounding of the share
-    found = FPGrowth(itemsCol="items", minSupport=(min_bad - 0.5) / baskets.count(), minConfidence=1.0).fit(baskets).freqItemsets
-    sets = written(found.select(F.array_sort("items").alias("rule_tokens")), "itemsets")
+    found = FPGrowth(itemsCol="items", minSupport=(min_bad - 0.5) / n_baskets, minConfidence=1.0).fit(baskets.select("items")).freqItemsets
+    sets = found.select(F.array_sort("items").alias("rule_tokens"))
+    if more:
+        every = each.join(sized(items), "t").groupBy("_id", "_bad").agg(F.array_sort(F.collect_list("t")).alias("items"))
+        sets = sets.unionByName(wider(every, min_bad, good, deviations)).distinct()
+    sets = written(sets, "itemsets")
     rarest = sets.select("rule_tokens", F.explode("rule_tokens").alias("t")).join(sized(items), "t").groupBy("rule_tokens").agg(F.min(F.struct("f", "t"))["t"].alias("index_token"))
     counted = _contained(rows, written(rarest, "indexed")).groupBy("rule_tokens", "index_token").agg(F.count(F.lit(1)).alias("pages"), F.sum("_bad").alias("b"))
-    least = min_confidence if min_confidence is not None else min(min_lift * base, (1 + base) / 2)
-    chance = F.sqrt(F.col("pages") * base * (1 - base))
-    good = counted.filter((F.col("b") >= min_bad) & (F.col("b") >= least * F.col("pages")) & (F.col("b") - F.col("pages") * base >= deviations * chance))
-    rules = written(good.select("rule_tokens", "index_token", (F.col("b") / F.col("pages")).alias("confidence"), "pages"), "rules")
+    rules = written(counted.filter(good).select("rule_tokens", "index_token", (F.col("b") / F.col("pages")).alias("confidence"), "pages"), "rules")
     # a rule goes if a part of it is a rule whose confidence is no less, but for chance
     whole = rules.select(F.col("rule_tokens").alias("_tokens"), F.col("confidence").alias("_of"), F.col("pages").alias("_pages"))
     likely = F.col("confidence") + deviations * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / F.col("_pages"))

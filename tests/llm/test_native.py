@@ -100,6 +100,33 @@ def test_planted_rules_hold_on_pages_without_label(spark):
     assert url_rules.mine(noise).count() == 0
 
 
+def test_rules_of_rare_tokens_on_pages_of_many_are_found(spark):
+    """Pages have more common tokens than FP-growth takes, and the rules are of rarer ones; as by brute force."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        bad = i < 60
+        some = {f"c{j:02d}" for j in range(30) if rng.random() < 0.5}
+        some |= {"r1", "r2", "r3"} if i < 24 else {"r1"} if 60 <= i < 100 else {"r2"} if 100 <= i < 140 else set()
+        some |= {"r3"} if 140 <= i < 180 or 24 <= i < 45 else set()
+        rows.append((sorted(some), bad))
+    assert sum(len(t) > url_rules.MINED_TOKENS for t, bad in rows if bad) > 50
+    base, least, known = 60 / 400, 0.3, {}
+    for n in range(1, 4):
+        for c in combinations(sorted({x for t, _ in rows for x in t}), n):
+            fits = [bad for t, bad in rows if set(c) <= set(t)]
+            b, k = sum(fits), len(fits)
+            if b >= 20 and b >= least * k and b - k * base >= 4 * (k * base * (1 - base)) ** 0.5:
+                known[frozenset(c)] = (b / k, k)
+    want = {s: v for s, v in known.items() if not any(p < s and known[p][0] + 4 * (known[p][0] * (1 - known[p][0]) / v[1]) ** 0.5 >= v[0] for p in known)}
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert {frozenset(r["rule_tokens"]): (r["confidence"], r["pages"]) for r in got} == want
+    assert frozenset({"r1", "r2"}) in want and frozenset({"r3"}) in want
+
+
 def test_many_constant_folders_are_one_item(spark):
     from pyspark.sql import functions as F
 
