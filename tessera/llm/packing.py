@@ -6,7 +6,7 @@ three lengths, are looked up by the gap that they fill exactly, and such
 combinations are consumed as often as their counts allow; what is left is packed
 best-fit, longest first.  The resulting plan (a bounded list of combinations and
 how often each is used) is then laid over the pieces by their rank among those
-of their length.
+of their length, where they are read.
 
 Nulls and edge cases: a null or empty text is a document of the end token alone;
 a document of exactly ``limit`` ids is one piece; repeated rows are packed each;
@@ -21,10 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tessera.llm._base import gapless, quoted, scoped, table, with_position, written
+from tessera.llm._base import BROADCAST_BYTES, quoted, scoped, table, written
 
 LIMIT = 1024
 END_ID = 2
@@ -117,11 +118,35 @@ def encoder(path: str, plain: bool | None = None):
     return encode
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+#: Columns of a piece's place: the task that made it, and which it is there of its length.
+PLACE = ("_task", "_nth")
+
+
+class _Count:
+    """Numbers the pieces of a task, from 0 for each length."""
+
+    def __init__(self) -> None:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        self.task = context.partitionId() if context else 0
+        self.seen: dict[int, int] = {}
+
+    def columns(self, lengths: list[int]) -> list[pa.Array]:
+        nth = []
+        for x in lengths:
+            nth.append(self.seen.get(x, 0))
+            self.seen[x] = nth[-1] + 1
+        return [pa.array(np.full(len(nth), self.task, np.int32)), pa.array(nth, pa.int64())]
+
+
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, limit: int = LIMIT, end_id: int = END_ID, place: bool = False) -> DataFrame:
     """``key``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian 32-bit) of every piece.
 
     A document's ids end with ``end_id``; one of more than ``limit`` ids is cut
-    into pieces of ``limit``, of which the first takes the remainder.
+    into pieces of ``limit``, of which the first takes the remainder.  ``place``
+    adds the columns ``PLACE``, which hold for one run: they are to be written
+    before they are used.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -129,10 +154,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     key_type = docs.schema[key].dataType
     plain = ranks_tell_merges(tokenizer)
-    out = f"`{key}` {key_type.simpleString()}, piece int, start long, length long, ids binary"
+    out = f"`{key}` {key_type.simpleString()}, piece int, start long, length long, ids binary" + (", _task int, _nth long" if place else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, plain)
+        count = _Count() if place else None
         for batch in batches:
             rows: list[int] = []
             parts: tuple[list, list, list, list] = ([], [], [], [])
@@ -147,16 +173,17 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                         to.append(value)
                 held += len(ids)
                 if held > 500_000:
-                    yield _piece_batch(batch, rows, parts)
+                    yield _piece_batch(batch, rows, parts, count)
                     rows, parts, held = [], ([], [], [], []), 0
-            yield _piece_batch(batch, rows, parts)
+            yield _piece_batch(batch, rows, parts, count)
 
     return docs.select(F.col(quoted(key)), F.col(quoted(text))).mapInArrow(cut, out)
 
 
-def _piece_batch(batch: pa.RecordBatch, rows: list, parts: tuple) -> pa.RecordBatch:
+def _piece_batch(batch: pa.RecordBatch, rows: list, parts: tuple, count: _Count | None) -> pa.RecordBatch:
     keys = batch.column(0).take(pa.array(rows, pa.int64()))
-    return pa.RecordBatch.from_arrays([keys, pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int64()), pa.array(parts[3], pa.binary())], names=[batch.schema.names[0], "piece", "start", "length", "ids"])
+    more = count.columns(parts[2]) if count else []
+    return pa.RecordBatch.from_arrays([keys, pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int64()), pa.array(parts[3], pa.binary()), *more], names=[batch.schema.names[0], "piece", "start", "length", "ids", *PLACE[: len(more)]])
 
 
 class Sums:
@@ -243,8 +270,27 @@ def plan(counts: dict[int, int], limit: int) -> list[tuple[list[tuple[int, int]]
     return made
 
 
+def placed(cut: DataFrame) -> DataFrame:
+    """Any table of pieces with the columns ``PLACE``, written."""
+    schema = StructType([*cut.schema.fields]).add("_task", "integer").add("_nth", "long")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _Count()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *count.columns(batch.column("length").to_pylist())], names=[*batch.schema.names, *PLACE])
+
+    return written(cut.mapInArrow(number, schema), "pieces")
+
+
 def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The (written) table of pieces with ``sequence_id`` and ``offset``."""
+    """The (written) table of pieces with ``sequence_id`` and ``offset``.
+
+    A piece's rank among those of its length is its number within the task that made
+    it (``PLACE``; one without is written with it first) and the number of those in
+    the tasks before, so pieces are laid where they are read, without an exchange.
+    """
+    if not set(PLACE) <= set(cut.columns):
+        cut = placed(cut)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `limit` rows
     taken: dict[int, int] = {}
     steps: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -259,8 +305,16 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
         base += many
     lookup = {k: np.array(v, np.int64) for k, v in steps.items()}
 
-    # only lengths are exchanged; the rest of a piece is joined to its place by file and row
-    ranked = gapless(cut.select("length"), ["length"], "_rank", position=True)
+    # how many pieces of each length the tasks before have: a row for each task, of at most `limit` numbers
+    each = cut.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = each.select("length", "_task", before.alias("_s")).groupBy(F.col("_task").alias("_of")).agg(F.collect_list("length").alias("_lengths"), F.collect_list("_s").alias("_shifts"))
+    shifts = written(shifts.select("_of", F.map_from_arrays("_lengths", "_shifts").alias("_before")), "shifts")
+    # 16 bytes a length, and as much again for what the rows take besides
+    near = F.broadcast(shifts) if (shifts.agg(F.sum(F.size("_before"))).first()[0] or 0) * 32 <= BROADCAST_BYTES else shifts
+    own = [c for c in cut.columns if c not in PLACE]
+    rank = F.element_at("_before", F.col("length")) + F.col("_nth")
+    ranked = cut.join(near, F.col("_task") == F.col("_of")).select(*[F.col(quoted(c)) for c in own], rank.alias("_rank"))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,14 +327,14 @@ def pack(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
                 k = rank[mine] - low
                 sequence[mine] = first + k // each
                 offset[mine] = at + k % each * one
-            yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_row"), pa.array(sequence), pa.array(offset)], names=["_f", "_r", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*own, "sequence_id", "offset"])
 
-    places = ranked.mapInArrow(lay, "_f string, _r long, sequence_id long, offset long")
-    return with_position(cut).join(places, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select(*cut.columns, "sequence_id", "offset")
+    schema = StructType([cut.schema[c] for c in own]).add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(lay, schema)
 
 
 @scoped
 def op10_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = pieces(table(spark, sf_dir, "documents"))
-    slim = written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    cut = pieces(table(spark, sf_dir, "documents"), place=True)
+    slim = written(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *PLACE), "pieces")
     return pack(slim)

@@ -115,6 +115,19 @@ def test_packing_of_documents(docs, frame, library, limit):
     assert len(by_sequence) <= total / limit * 1.3 + 2
 
 
+def test_pieces_are_laid_where_they_are_read(docs, frame):
+    """No piece is exchanged, whether pieces were numbered when they were made or are now; both give whole sequences."""
+    for cut in (packing.pieces(frame(docs), place=True), packing.pieces(frame(docs)).drop("ids")):
+        out = packing.pack(written(cut, "pieces"))
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == [c for c in cut.columns if c not in packing.PLACE] + ["sequence_id", "offset"]
+        ends = {}
+        for r in out.orderBy("sequence_id", "offset").collect():
+            assert r["offset"] == ends.get(r["sequence_id"], 0)
+            ends[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(ends.values()) <= packing.LIMIT
+
+
 def test_packing_of_nothing(spark):
     none = packing.pieces(spark.createDataFrame([], "doc_id long, text string"))
     assert packing.pack(written(none, "pieces")).collect() == []
